@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input's size: file sizes for tables, without a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def pieces_for(df: DataFrame, piece_bytes: int, least: int = 1) -> int:
