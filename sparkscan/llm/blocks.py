@@ -27,12 +27,16 @@ SLICE_BYTES = 6 << 20  # of input for each slice
 MESSAGE = "block long, slice long, data binary"
 
 
-def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more, pieces: int | None = None) -> DataFrame:
+def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more) -> DataFrame:
     """docs with the block of each row; rows with one id share a block, rows without id are spread by text."""
-    rows = pick(docs, doc_id, text, *more)
-    n = pieces or pieces_for(docs, BLOCK_BYTES)
+    n = pieces_for(docs, BLOCK_BYTES)
+    return block_of(pick(docs, doc_id, text, *more), docs).repartition(n, "block")
+
+
+def block_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with doc_id and text, and their blocks in deal(docs)."""
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return rows.withColumn("block", F.pmod(key, F.lit(n))).repartition(n, "block")
+    return rows.withColumn("block", F.pmod(key, F.lit(pieces_for(docs, BLOCK_BYTES))))
 
 
 def slices_for(docs: DataFrame) -> int:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, packing, pii, quality, substrings, token_files, tokens
+from . import licences, lines, near, packing, pii, quality, substrings, token_files, tokens
 from .tables import read
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.license_scan(read(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op3_substring_dedup, op6_token_records, op7_pii, op8_line_dedup, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_substring_dedup, op6_token_records, op7_pii, op8_line_dedup, op9_quality_rules, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -49,7 +49,7 @@ def _windows(table: pa.Table, width: int):
     return h, g, doc, at, np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
 
-def _estimated_repeated(table: pa.Table) -> pa.Table:
+def estimated_repeated(table: pa.Table) -> pa.Table:
     """Answers sketches: which counters did several blocks hit?"""
     got = []
     for b, s, (first, steps) in B.parts(table, np.uint64, np.uint32):
@@ -66,8 +66,8 @@ def _estimated_repeated(table: pa.Table) -> pa.Table:
     return B.reply([(x[0], x[1], several[a:b]) for x, a, b in zip(got, ends, ends[1:], strict=False)])
 
 
-def _sketch(cells: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
-    at = _cell_slice(cells, n, bits)
+def sketch_messages(cells: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
+    at = cell_slice(cells, n, bits)
     cut = np.searchsorted(at, np.arange(n + 1))
     some = np.flatnonzero(np.diff(cut))
     data = []
@@ -77,27 +77,31 @@ def _sketch(cells: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(some), block), pa.int64()), "slice": pa.array(some, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
-def _cell_slice(cells: np.ndarray, n: int, bits: int) -> np.ndarray:
+def sketch_bits(docs: DataFrame, n: int) -> int:
+    """Width of the sketch: about 32 counters for each word, of which input bytes are 3 to 8."""
+    return min(max(24, (32 * input_bytes(docs) // 4).bit_length()), 31 + n.bit_length() - 1, 60)  # a step between counters of a slice stays under 2**32
+
+
+def cell_slice(cells: np.ndarray, n: int, bits: int) -> np.ndarray:
     return B.slice_of(cells << np.uint64(64 - bits), n)
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (texts adds ``text``), by row of docs."""
     blocked, n = B.deal(docs, doc_id, text), B.slices_for(docs)
-    # About 32 counters for each window: input bytes are 3 to 8 for each word. A step between counters of one slice stays under 2**32.
-    bits = min(max(24, (32 * input_bytes(docs) // 4).bit_length()), 31 + n.bit_length() - 1, 60)
+    bits = sketch_bits(docs, n)
 
     def cells_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(h >> np.uint64(64 - bits), return_inverse=True)
 
     def sketch(table: pa.Table) -> pa.Table:
         h = _windows(table, width)[0]
-        return _sketch(np.unique(h >> np.uint64(64 - bits)), n, bits, table["block"][0].as_py())
+        return sketch_messages(np.unique(h >> np.uint64(64 - bits)), n, bits, table["block"][0].as_py())
 
     def seen_in(h: np.ndarray, answers: pa.Table) -> np.ndarray:
         """Which windows are estimated to be in another block too?"""
         cells, which = cells_of(h)
-        return B.bits(answers, _cell_slice(cells, n, bits), n)[which]
+        return B.bits(answers, cell_slice(cells, n, bits), n)[which]
 
     def exact(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, g, doc, _, _ = _windows(table, width)
@@ -134,7 +138,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         out = {"doc_id": table["doc_id"], "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(out | ({"text": pa.array(kept, pa.binary()).cast(pa.string())} if texts else {}))
 
-    estimates = B.ask(blocked, sketch, _estimated_repeated)
+    estimates = B.ask(blocked, sketch, estimated_repeated)
     answers = B.with_answers(blocked, estimates, exact, B.MESSAGE).groupBy("slice").applyInArrow(B.first_elsewhere, B.MESSAGE)
     both = estimates.unionByName(answers.withColumn("slice", F.col("slice") + n))
     return B.with_answers(blocked, both, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts)
