@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, near, packing, pii, quality, substrings, token_files, tokens
+from . import licences, lines, mixing, near, neighbours, packing, pii, quality, substrings, token_files, tokens
 from .tables import read
 
 
@@ -20,6 +20,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_records(read(spark, sf_dir, "documents"), tokens.vocabulary()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -40,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_substring_dedup, op6_token_records, op7_pii, op8_line_dedup, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_substring_dedup, op4_nearest_neighbours, op5_mixing, op6_token_records, op7_pii, op8_line_dedup, op9_quality_rules, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
