@@ -35,78 +35,101 @@ from .tables import batch, cut, pick
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.97, 0.02, 0.01)  # shares of the expected tokens
-SAMPLE = 20_000
-FEATURES = 1 << 12  # hashed words
+SAMPLE = 8_000
+CELLS = 1 << 18  # of hashed words
+TELLING, LEAST_CHI = 512, 30.0
+DENSE = CLASSES + 3
+_LETTER = A.table([*range(48, 58), *range(97, 123), *range(128, 256)])
+HEADROOM = 1.03
 MU = 1e-3
+L2 = 2e-4
 STEPS = 60
 CLOSE = 1e-5  # of all tokens: domain totals that move less have settled
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), *((f"p_{d}", pa.float64()) for d in DOMAINS)])
 
 
-def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Of each slab: rows, words of each, and sparse rows (row, column, value) of shares of hashed words, and dense shares of byte classes."""
+def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Of each slab: rows, words of each, and (row, cell) of each distinct hashed word with dense features beside:
+    shares of byte classes, of distinct words and of words with a symbol, and the logarithm of the length."""
     for i, j, buf, offs in A.slabs(texts):
         starts, ends = A.runs(A.NOT_SPACE[buf], offs)
         first = A.owners(starts, offs)
         n, docs = np.diff(first), j - i
         doc = np.repeat(np.arange(docs), n)
-        word = A.table([*range(48, 58), *range(97, 123), *range(128, 256)])
         low = A.lower_ascii(buf)
-        ws, we = A.runs(word[low], offs)
+        ws, we = A.runs(_LETTER[low], offs)
         owner = np.repeat(np.arange(docs), np.diff(A.owners(ws, offs)))
-        h = A.hash_spans(low, ws, we)
-        cell = owner * FEATURES + (h % np.uint64(FEATURES)).astype(np.int64)
-        at, count = np.unique(cell, return_counts=True)
-        total = np.maximum(np.bincount(owner, minlength=docs), 1)
-        row, col = at // FEATURES, at % FEATURES
-        present = np.log1p(count) / np.log1p(total[row]) * 0.5  # a rare word counts by being there
+        at = np.unique(owner * CELLS + (A.hash_spans(low, ws, we) % np.uint64(CELLS)).astype(np.int64))
         classes = np.bincount(np.repeat(np.arange(docs), np.diff(offs)) * CLASSES + _CLASS[buf], minlength=docs * CLASSES).reshape(docs, CLASSES)
-        dense = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1) * 4
-        yield i, j, n, (row, col, present, dense)
+        odd = np.concatenate(([0], np.cumsum(_CLASS[buf] == 5)))
+        dense = np.empty((docs, DENSE))
+        dense[:, :CLASSES] = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1)
+        distinct = np.unique(A.finish(doc.astype(np.uint64)) ^ A.hash_spans(buf, starts, ends), return_index=True)[1]
+        dense[:, CLASSES] = np.bincount(doc[distinct], minlength=docs) / np.maximum(n, 1)
+        dense[:, CLASSES + 1] = np.bincount(doc, odd[ends] > odd[starts], docs) / np.maximum(n, 1)
+        dense[:, CLASSES + 2] = np.log1p(n) / 10
+        yield i, j, n, (at // CELLS, at % CELLS, dense)
 
 
 class Classifier:
-    """Multinomial logistic regression over sparse hashed words and a few dense shares."""
+    """Multinomial logistic regression on the presence of telling words and on standardised dense features."""
 
-    def __init__(self, weights: np.ndarray, dense: np.ndarray, bias: np.ndarray):
-        self.weights, self.dense, self.bias = weights, dense, bias
+    def __init__(self, cells: np.ndarray, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, dense: np.ndarray, bias: np.ndarray):
+        self.cells, self.weights, self.mean, self.scale, self.dense, self.bias = cells, weights, mean, scale, dense, bias
 
     def posteriors(self, docs: int, sparse) -> np.ndarray:
-        row, col, value, dense = sparse
-        score = self.bias + dense @ self.dense
-        for d in range(len(DOMAINS)):
-            score[:, d] += np.bincount(row, value * self.weights[col, d], docs)
+        row, cell, dense = sparse
+        return self.of_words(docs, *self.words(row, cell), (dense - self.mean) / self.scale)
+
+    def words(self, row: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, word) of the telling words."""
+        if not len(self.cells):
+            return row[:0], cell[:0]
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        known = self.cells[at] == cell
+        return row[known], at[known]
+
+    def of_words(self, docs: int, row: np.ndarray, word: np.ndarray, x: np.ndarray) -> np.ndarray:
+        score = self.bias + x @ self.dense
+        for d in range(len(DOMAINS) if len(row) else 0):
+            score[:, d] += np.bincount(row, self.weights[word, d], docs)
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(texts: pa.Array, domain: np.ndarray, rounds: int = 250, rate: float = 0.5) -> Classifier:
-    """By full-batch gradient with per-weight steps; domains weigh alike in the loss, and the shares return as the bias."""
-    k = len(DOMAINS)
-    share = np.bincount(domain, minlength=k) / max(len(domain), 1)
-    empty = Classifier(np.zeros((FEATURES, k)), np.zeros((CLASSES, k)), np.log(np.maximum(share, 1e-6)) if len(domain) else np.array([0.0, -14, -14]))
+def train(texts: pa.Array, domain: np.ndarray, rounds: int = 300, rate: float = 0.03) -> Classifier:
+    """By full-batch gradient with per-weight steps. Telling words are those whose presence depends on the domain by a
+    chi-squared statistic over LEAST_CHI, at most TELLING of them."""
+    k, n = len(DOMAINS), len(domain)
+    share = np.bincount(domain, minlength=k) / max(n, 1)
+    nothing = np.zeros((0, k)), np.zeros(DENSE), np.ones(DENSE), np.zeros((DENSE, k))
     if np.count_nonzero(share) < 2:
-        return empty
-    rows, cols, values, dense = [], [], [], []
-    for i, _, _, (r, c, v, d) in _features(texts):
-        rows.append(r + i)
-        cols.append(c)
-        values.append(v)
-        dense.append(d)
-    row, col, value, x = (np.concatenate(z) for z in (rows, cols, values, dense))
-    n = len(domain)
-    want = np.eye(k)[domain]
-    heed = (1 / np.maximum(share * np.count_nonzero(share), 1e-9))[domain]
-    model, speed = Classifier(np.zeros((FEATURES, k)), np.zeros((CLASSES, k)), np.zeros(k)), [np.full((FEATURES, k), 1e-8), np.full((CLASSES, k), 1e-8), np.full(k, 1e-8)]
+        return Classifier(np.zeros(0, np.int64), *nothing, np.log(np.maximum(share if n else [1, 0, 0], 1e-6)))
+    parts = [(r + i, c, d) for i, _, _, (r, c, d) in _features(texts)]
+    row, cell, dense = (np.concatenate(x) for x in zip(*parts, strict=True))
+    seen = np.stack([np.bincount(cell[domain[row] == d], minlength=CELLS) for d in range(k)]).astype(float)
+    size = np.maximum(share * n, 1e-9)[:, None]
+    rate_ = seen.sum(axis=0) / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num(((seen - size * rate_) ** 2 / (size * rate_ * (1 - rate_))).sum(axis=0), posinf=0)
+    chi[(seen.sum(axis=0) < 5)] = 0
+    cells = np.sort(np.argsort(-chi)[:TELLING])
+    cells = cells[chi[cells] >= LEAST_CHI]
+    model = Classifier(cells, np.zeros((len(cells), k)), dense.mean(axis=0), dense.std(axis=0) + 1e-3, np.zeros((DENSE, k)), np.log(np.maximum(share, 1e-6)))
+    x, want = (dense - model.mean) / model.scale, np.eye(k)[domain]
+    told, word = model.words(row, cell)
+    speed = [np.full(w.shape, 1e-8) for w in (model.weights, model.dense, model.bias)]
     for _ in range(rounds):
-        wrong = (model.posteriors(n, (row, col, value, x)) - want) * heed[:, None] / n
-        grads = [np.stack([np.bincount(col, value * wrong[row, d], FEATURES) for d in range(k)], axis=1) + 1e-5 * model.weights, x.T @ wrong + 1e-6 * model.dense, wrong.sum(axis=0)]
+        wrong = (model.of_words(n, told, word, x) - want) / n
+        words = np.stack([np.bincount(word, wrong[told, d], len(cells)) for d in range(k)], axis=1) if len(cells) else model.weights
+        grads = [words + L2 * model.weights, x.T @ wrong + L2 * model.dense, wrong.sum(axis=0)]
         for weight, grad, s in zip((model.weights, model.dense, model.bias), grads, speed, strict=True):
-            s += grad**2
+            s *= 0.98
+            s += 0.02 * grad**2
             weight -= rate * grad / np.sqrt(s)
-    model.bias = model.bias + np.log(np.maximum(share * np.count_nonzero(share), 1e-6))
+        rate *= 0.99
     return model
 
 
@@ -149,8 +172,9 @@ def fit(members: DataFrame, targets=TARGETS) -> tuple[list[tuple[np.ndarray, flo
         return steps, size
     total, have = float(now[0]), np.array(now[1:], float)
     share = np.array(targets) / sum(targets)
-    # The largest budget for which the domain that its target favours most needs no document more than once.
-    budget = float(np.min(have[share > 0] / share[share > 0]))
+    # The domain with the greatest target is asked for a little more than there is, so that its documents are taken once at least.
+    most = int(np.argmax(share))
+    budget = HEADROOM * float(have[most] / share[most])
     want = share * budget / total
     look, last, t = have / total, None, 1.0
     for _ in range(STEPS):

@@ -80,13 +80,14 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 # Whole-span features of a candidate; each entity type has a weight for each.
 _SPAN = {
     "email": re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"),
+    "dotted": re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(rb"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "ip6": re.compile(rb"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
     "card": re.compile(rb"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{2,7}"),
     "phone": re.compile(rb"(?:\+|00)?(?:[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,5}"),
     "hex": re.compile(rb"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}"),
 }
-FEATURES = ("bias", *_SPAN, "plus", "luhn", "digits 10-15", "digits 14-19", "digits under 7", "at sign", "glued left", "glued right", "edge is space or punctuation", "long")
+FEATURES = ("bias", *_SPAN, "plus", "luhn", "digits 10-15", "digits 14-19", "digits under 7", "at sign", "glued left", "glued right", "goes on", "16 digits", "edge is space or punctuation", "long")
 
 
 def _features(text: bytes, s: int, e: int, n: int) -> np.ndarray:
@@ -95,7 +96,7 @@ def _features(text: bytes, s: int, e: int, n: int) -> np.ndarray:
     glue = lambda c: bool(re.match(rb"[A-Za-z0-9_\x80-\xff@]", c))
     return np.array([
         1, *(bool(p.fullmatch(span)) for p in _SPAN.values()), span[:1] == b"+", 13 <= len(digits) <= 19 and luhn(digits), 10 <= len(digits) <= 15, 14 <= len(digits) <= 19, len(digits) < 7, b"@" in span,
-        glue(text[s - 1 : s]) if s else False, glue(text[e : e + 1]), not (re.match(rb"[A-Za-z0-9+(]", span[:1]) and re.match(rb"[A-Za-z0-9]", span[-1:])), n > 12,
+        glue(text[s - 1 : s]) if s else False, glue(text[e : e + 1]), bool(re.match(rb"[.:-][A-Za-z0-9]", text[e : e + 2])), len(digits) == 16, not (re.match(rb"[A-Za-z0-9+(]", span[:1]) and re.match(rb"[A-Za-z0-9]", span[-1:])), n > 12,
     ], float)
 
 
