@@ -80,14 +80,14 @@ def parts(table: pa.Table, *types) -> Iterator[tuple[int, int, list[np.ndarray]]
         yield block, at, unpack(data.as_buffer(), *types)
 
 
-def bits(table: pa.Table, at: np.ndarray, n: int) -> np.ndarray:
-    """Answers, put back at the block's entries; no answer is all zeros."""
+def bits(table: pa.Table, at: np.ndarray, n: int, kinds: int = 1):
+    """Answers of one or more kinds, put back at the block's entries; no answer is all zeros."""
     cut = np.searchsorted(at, np.arange(n + 1))
-    out = np.zeros(len(at), bool)
-    for _, s, (data,) in parts(table, np.uint8):
-        size = cut[s + 1] - cut[s]
-        out[cut[s] : cut[s + 1]] = np.unpackbits(data, count=size).astype(bool)
-    return out
+    out = np.zeros((kinds, len(at)), bool)
+    for _, s, data in parts(table, *[np.uint8] * kinds):
+        for k, x in enumerate(data):
+            out[k, cut[s] : cut[s + 1]] = np.unpackbits(x, count=cut[s + 1] - cut[s]).astype(bool)
+    return out[0] if kinds == 1 else out
 
 
 def ask(blocked: DataFrame, emit: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:

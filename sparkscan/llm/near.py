@@ -3,14 +3,12 @@
 1. Each document's set is hashed; documents with equal sets are one class, held by its least id.
 2. A linked set has at least 3/4 of its shingles in another set.  A sparse counting sketch of shingles
    over blocks and slices never counts too low, so sets with fewer shared shingles are out; the rest are candidates.
-3. Candidates' universe-partition signatures go to slices of the signature space.  Sharing of a signature
-   suggests a pair.  First every holder is verified against the least holder.
-4. With the components of these links known, pairs of different components that share a signature which one of
-   them has to look up are verified as well.  Signatures to look up are chosen by cost: a
-   bounded sketch counts signatures over all candidates, and the cheapest that cover the largest difference are taken.
-   Pairs inside a component need no more links, so large groups of copies never make all their pairs.
-
-Every suggested pair is verified on both sets exactly.
+3. Candidates' universe-partition signatures go to slices of the signature space.  A set looks up the cheapest
+   signatures that cover its largest difference (a bounded sketch counts signatures over all candidates), and a signature that
+   anybody looks up ties its holders, of sizes that may link, to the least of them: one row a holder, not one a pair.
+4. Tied candidates are a cluster.  A cluster's sets are compared exactly by an inverted index of their shingles, which counts what
+   a set shares with all others at once.  A cluster of more than TILE sets is cut into tiles and each pair of tiles is one
+   task, so no task holds more than 2 * TILE sets.  Links that tie nothing new are not returned.
 
 Defined results: a null, empty or wordless text has no shingles and links with nothing; fewer words than WORDS
 make one shingle; rows with one id are one vertex that has the links of each of them; a row with
@@ -27,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays as A
 from . import blocks as B
 from . import shingles as S
 from .components import components
-from .substrings import cell_slice, estimated_repeated, sketch_bits, sketch_messages
+from .substrings import cell_slice, counted, counted_messages, sketch_bits
 from .tables import batch, cut, pick, pieces_for
 
 CELLS = 1 << 16  # of the cost sketch
+FEW = 6  # sets that hold a rare shingle, at most
+TILE = 4096  # sets of a cluster that one task compares with as many others
 CANDIDATES = "doc_id long, n int, keys binary"
 _BASE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 _CAND = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("keys", pa.binary())])
@@ -94,20 +95,22 @@ def candidates(docs: DataFrame, base: DataFrame, words: int, percent: int) -> Da
     def sketch(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return B.reply([])
-        key = mine(table, answers)[1]
-        return sketch_messages(np.unique(key >> np.uint64(64 - bits)), n, bits, table["block"][0].as_py())
+        cells, count = np.unique(mine(table, answers)[1] >> np.uint64(64 - bits), return_counts=True)
+        return counted_messages(cells, count, n, bits, table["block"][0].as_py())
 
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, key, first = mine(table, answers)
         cells, back, count = np.unique(key >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
         replies = answers.filter(pc.greater_equal(answers["slice"], 0))
-        shared = (B.bits(replies, cell_slice(cells, n, bits), n) | (count > 1))[back]  # a set has a shingle once, so twice is in two sets
+        elsewhere, frequent = B.bits(replies, cell_slice(cells, n, bits), n, 2)
+        shared = (elsewhere | (count > 1))[back]  # a set has a shingle once, so twice is in two sets
+        key = S.marked(key, frequent[back], ~shared)
         total = np.concatenate(([0], np.cumsum(shared)))
         size = np.diff(first)
         take = np.flatnonzero(100 * (total[first[1:]] - total[first[:-1]]) >= percent * size)
-        return pa.table([pa.array(ids[take]), pa.array(size[take].astype(np.int32)), pa.array([key[first[k] : first[k + 1]].tobytes() for k in take], pa.binary())], schema=_CAND)
+        return pa.table([pa.array(ids[take]), pa.array(size[take].astype(np.int32)), pa.array([np.sort(key[first[k] : first[k + 1]]).tobytes() for k in take], pa.binary())], schema=_CAND)
 
-    estimates = B.with_answers(blocked, lists, sketch, B.MESSAGE).groupBy("slice").applyInArrow(estimated_repeated, B.MESSAGE)
+    estimates = B.with_answers(blocked, lists, sketch, B.MESSAGE).groupBy("slice").applyInArrow(counted(FEW), B.MESSAGE)
     return B.with_answers(blocked, lists.unionByName(estimates), choose, CANDIDATES)
 
 
@@ -129,78 +132,91 @@ def costs(cand: DataFrame) -> np.ndarray:
     return out
 
 
-def suggestions(cand: DataFrame, n: int, percent: int, cost: np.ndarray | None) -> DataFrame:
-    """Distinct pairs (a, b).  Without cost: each holder of a signature with its least holder.  With cost: cand has comp, and
-    pairs of different components that share a signature which either looks up."""
+def ties(cand: DataFrame, n: int, percent: int, cost: np.ndarray) -> DataFrame:
+    """Distinct (a, b): candidates that a looked-up signature ties, b to the least holder a of sizes that may link."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _rows(b):
                 ids, size = part.column(0).to_numpy(), part.column(1).to_numpy()
                 sigs = S.Signatures(*_unpack_sets(part.column(2)))
-                look = np.ones(len(sigs.sig), bool) if cost is None else sigs.allocate(cost[(sigs.sig % np.uint64(CELLS)).astype(np.int64)])
-                order = np.lexsort((sigs.set, sigs.sig))
-                own = sigs.set[order]
-                cols = [sigs.sig[order], ids[own], (size[own].astype(np.int64) * 2 + look[order]).astype(np.uint32)]
-                if cost is not None:
-                    cols.append(part.column(3).to_numpy()[own])
-                yield B.messages(0, B.slice_of(cols[0], n), n, *cols).select(["slice", "data"]).combine_chunks().to_batches()[0] if len(own) else pa.RecordBatch.from_pylist([], schema=pa.schema([("slice", pa.int64()), ("data", pa.binary())]))
-
-    def linkable(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+                if not len(sigs.sig):
+                    continue
+                look = sigs.allocate(cost[(sigs.sig % np.uint64(CELLS)).astype(np.int64)])
+                order = np.argsort(sigs.sig)
+                own, sig = sigs.set[order], sigs.sig[order]
+                packed = (size[own].astype(np.int64) * 2 + look[order]).astype(np.uint32)
+                yield B.messages(0, B.slice_of(sig, n), n, sig, ids[own], packed).select(["slice", "data"]).combine_chunks().to_batches()[0]
 
     def meet(table: pa.Table) -> pa.Table:
-        types = [np.uint64, np.int64, np.uint32] + [np.int64] * (cost is not None)
-        got = [B.unpack(x.as_buffer(), *types) for x in table["data"]]
-        sig, doc, size, *comp = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((doc, sig))
+        got = [B.unpack(x.as_buffer(), np.uint64, np.int64, np.uint32) for x in table["data"]]
+        sig, doc, size = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((size, sig))
         sig, doc, look, size = sig[order], doc[order], (size[order] & 1).astype(bool), (size[order] >> 1).astype(np.int64)
-        comp = comp[0][order] if comp else np.zeros(len(sig), np.int64)
         new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
+        new[1:] = (sig[1:] != sig[:-1]) | (100 * size[:-1] < percent * size[1:])  # a gap in sizes that no link spans
         start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        if cost is None:
-            hub = start[group]
-            ok = (doc[hub] != doc) & linkable(size[hub], size)
-            pairs = np.stack((doc[hub][ok], doc[ok]), axis=1)
-        else:
-            differs = np.zeros(len(start), bool)
-            differs[group[1:][(comp[1:] != comp[:-1]) & ~new[1:]]] = True
-            ends = np.append(start[1:], len(sig))
-            found = []
-            for g in np.flatnonzero(differs).tolist():
-                s, e = start[g], ends[g]
-                for i in np.flatnonzero(look[s:e]) + s:  # one holder against all others: memory follows the holders
-                    ok = (comp[s:e] != comp[i]) & linkable(size[s:e], size[i]) & (~look[s:e] | (np.arange(s, e) > i)) & (doc[s:e] != doc[i])
-                    other = doc[s:e][ok]
-                    found.append(np.stack((np.minimum(other, doc[i]), np.maximum(other, doc[i])), axis=1))
-            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(pairs, axis=0)
+        sought = np.logical_or.reduceat(look, start)[group]
+        hub = np.minimum.reduceat(doc, start)[group]
+        ok = sought & (hub != doc)
+        pairs = np.unique(np.stack((hub[ok], doc[ok]), axis=1), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
 
-    cols = ["doc_id", "n", "keys"] + ["comp"] * (cost is not None)
-    return cand.select(*cols).mapInArrow(emit, "slice long, data binary").groupBy("slice").applyInArrow(meet, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are that similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    sets = cand.select("doc_id", "keys")
-    two = pairs.join(sets.toDF("b", "keys_b"), "b").join(sets.toDF("a", "keys_a"), "a").select("a", "b", "keys_a", "keys_b")
-    return two.mapInArrow(run, "a long, b long")
+    return cand.select("doc_id", "n", "keys").mapInArrow(emit, "slice long, data binary").groupBy("slice").applyInArrow(meet, "a long, b long").distinct()
+
+
+def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int, left: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Links among sets, without those that tie nothing new; with left, only between sets that differ in it."""
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(ids)), size)
+    shared = (key & np.uint64(S.ALONE)) == 0
+    key, owner = key[shared], owner[shared]
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(key)))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    holders = owner[order]
+    mine = np.searchsorted(owner, np.arange(len(ids) + 1))
+    label, a, b = np.arange(len(ids)), [], []
+    for x in range(len(ids)):
+        own = group[mine[x] : mine[x + 1]]
+        own = own[count[own] > 1]
+        if not len(own):
+            continue
+        both = np.bincount(holders[A.ragged(start[own], count[own])], minlength=len(ids))
+        ok = 100 * both >= percent * (size + size[x] - both)
+        ok &= label != label[x]
+        if left is not None:
+            ok &= left != left[x]
+        for y in np.flatnonzero(ok).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+    return a, b
+
+
+def verified(clusters: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters, enough of them to tie all that link; clusters has doc_id, keys and cluster."""
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    placed = clusters.join(sizes, "cluster").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "keys")
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        key, first = _unpack_sets(table["keys"].combine_chunks())
+        a, b = links_of(table["doc_id"].to_numpy(), key, first, percent, table["tile"].to_numpy() if across else None)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = S.WORDS, percent: int = 75) -> DataFrame:
@@ -211,18 +227,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = cut(sets_of(docs, words))
     n = B.slices_for(docs)
     cand = cut(candidates(docs, base, words, percent))
-    first = cut(verified(suggestions(cand, n, percent, None), cand, percent))
-    labels = components(first)
-    placed = cand.join(labels.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    second = cut(verified(suggestions(placed, n, percent, costs(cand)), cand, percent))
+    found = components(ties(cand, n, percent, costs(cand))).withColumnRenamed("component", "cluster")
+    links = verified(cand.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id").select("doc_id", "keys", "cluster"), percent)
     holders = base.where("n_shingles > 0 and doc_id is not null")
     # A row's set may be held by another id; rows with one id tie their sets together.
     classes = holders.groupBy("k1", "k2").agg(F.min("doc_id").alias("holder"))
     held = holders.join(classes, ["k1", "k2"])
-    ties = held.where("doc_id <> holder").select(F.col("holder").alias("a"), F.col("doc_id").alias("b"))
+    other = held.where("doc_id <> holder").select(F.col("holder").alias("a"), F.col("doc_id").alias("b"))
     repeated = holders.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    tied = ties.join(repeated.select(F.col("doc_id").alias("b")), "b").select("a", "b")
-    links = components(first.unionByName(second).unionByName(tied)).select(F.col("vertex").alias("holder"), "component")
+    tied = other.join(repeated.select(F.col("doc_id").alias("b")), "b").select("a", "b")
+    links = components(links.unionByName(tied)).select(F.col("vertex").alias("holder"), "component")
     groups = classes.join(links, "holder", "left").select("k1", "k2", F.coalesce("component", "holder").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return base.join(groups, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id")).alias("component_id"))

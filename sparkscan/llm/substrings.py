@@ -66,6 +66,36 @@ def estimated_repeated(table: pa.Table) -> pa.Table:
     return B.reply([(x[0], x[1], several[a:b]) for x, a, b in zip(got, ends, ends[1:], strict=False)])
 
 
+def counted_messages(cells: np.ndarray, count: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
+    """A sketch with how often the block hits each counter, up to 255."""
+    at = cell_slice(cells, n, bits)
+    cut = np.searchsorted(at, np.arange(n + 1))
+    some = np.flatnonzero(np.diff(cut))
+    data = []
+    for s in some:
+        own = cells[cut[s] : cut[s + 1]]
+        data.append(B.pack(own[:1], np.diff(own, prepend=own[:1]).astype(np.uint32), np.minimum(count[cut[s] : cut[s + 1]], 255).astype(np.uint8)))
+    return pa.table({"block": pa.array(np.full(len(some), block), pa.int64()), "slice": pa.array(some, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def counted(few: int):
+    """Answers counted sketches: which counters does another block hit too, and which are hit more than ``few`` times in all?"""
+
+    def answer(table: pa.Table) -> pa.Table:
+        got = [(b, s, np.cumsum(steps.astype(np.uint64)) + first[0], count) for b, s, (first, steps, count) in B.parts(table, np.uint64, np.uint32, np.uint8)]
+        out = []
+        if got:
+            _, back = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
+            own = np.concatenate([x[3] for x in got]).astype(np.int64)
+            total = np.bincount(back, own)[back]
+            ends = np.cumsum([0, *(len(x[2]) for x in got)])
+            for x, a, b in zip(got, ends, ends[1:], strict=False):
+                out.append((x[0], x[1], B.pack(np.packbits(total[a:b] > own[a:b]), np.packbits(total[a:b] > few))))
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "slice": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
+
+    return answer
+
+
 def sketch_messages(cells: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
     at = cell_slice(cells, n, bits)
     cut = np.searchsorted(at, np.arange(n + 1))
