@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, lines, mixing, near, neighbours, packing, pii, quality, substrings, token_files, tokens
+from . import licences, lines, mixing, near, neighbours, oracles, packing, pii, quality, substrings, token_files, tokens
 from .tables import read
 
 
@@ -49,4 +49,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_substring_dedup, op4_nearest_neighbours, op5_mixing, op6_token_records, op7_pii, op8_line_dedup, op9_quality_rules, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard": oracles.OP1, "op3_substring_dedup": oracles.OP3, "op8_line_dedup": oracles.OP8}
