@@ -37,9 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+UNKNOWN = 1 << 50  # estimates beyond this say that the optimizer knows nothing
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the input's size: file sizes for tables, without a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of the input's size: file sizes for tables, without a scan. Rows of other origin are measured once."""
+    if "_input_bytes" not in df.__dict__:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if size >= UNKNOWN:
+            texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("binary")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+            size = int(df.select(sum(texts, F.lit(16)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0)
+        df.__dict__["_input_bytes"] = size
+    return df.__dict__["_input_bytes"]
 
 
 def pieces_for(df: DataFrame, piece_bytes: int, least: int = 1) -> int:

