@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: an unused neighbour of the seed document comes next.
 
 Documents are dealt into shards of bounded size by a hash of their id.  Each shard has its own
-BM25 inverted index.  A window's seed is the document that it starts in; the seed's rarest
-terms retrieve neighbours, and unused ones fill the window, best first.  A document that
+BM25 inverted index.  A window's seed is the document that it starts in; all terms
+of the seed retrieve neighbours, and unused ones fill the window, best first.  A document that
 outruns its window is cut and seeds the next one.  So every window of a shard but the last is
 full; what is left is cut into lengths that are powers of two, and no sequence has any padding.
 
@@ -27,8 +27,6 @@ from .tables import pick, pieces_for
 WINDOW = 2048
 END = 1
 SHARD_BYTES = 3 << 20  # of input for each shard
-TERMS = 24  # of a seed that retrieve
-NEIGHBOURS = 32  # that a seed ranks at once; when they are used up the next seed is taken
 K1, B = 1.2, 0.75
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -62,14 +60,12 @@ class Index:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1))) if len(term) else np.zeros(0)
         self.doc = doc
         self.first = np.searchsorted(term, np.arange(len(df) + 1))
-        best = np.lexsort((term, -idf[term] * tf, doc))
-        rank = np.arange(len(best)) - np.searchsorted(doc[best], doc[best])
-        best = best[rank < TERMS]
-        self.query = term[best]
-        self.query_of = np.searchsorted(doc[best], np.arange(self.n + 1))
+        by_doc = np.lexsort((term, doc))
+        self.query = term[by_doc]
+        self.query_of = np.searchsorted(doc[by_doc], np.arange(self.n + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents that share a query term, best first, ties to the earlier."""
+        """All unused documents that share a term with the seed, best first, ties to the earlier."""
         terms = self.query[self.query_of[seed] : self.query_of[seed + 1]]
         if not len(terms):
             return []
@@ -77,25 +73,24 @@ class Index:
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
         return found[np.lexsort((found, -score[found]))].tolist()
 
 
 def order(index: Index, sizes: np.ndarray) -> list[int]:
     """The order in which documents fill the windows."""
-    used, out, queue, at, following = np.zeros(index.n, bool), [], [], 0, 0
+    used, out, queue, at, following = np.zeros(index.n, bool), [], iter(()), 0, 0
     while len(out) < index.n:
         doc = next((d for d in queue if not used[d]), -1)
-        if doc < 0:
+        alone = doc < 0  # the seed has no unused neighbour left
+        if alone:
             while used[following]:
                 following += 1
-            doc, queue = following, []
+            doc = following
         used[doc] = True
         out.append(doc)
         before, at = at // WINDOW, at + int(sizes[doc])
-        if at // WINDOW != before or not queue:  # it starts the next window, or it is a new seed
-            queue = index.neighbours(doc, used) if at % WINDOW else []
+        if at // WINDOW != before or alone:  # it starts the next window, or it is a new seed
+            queue = iter(index.neighbours(doc, used) if at % WINDOW else ())
     return out
 
 

@@ -185,6 +185,14 @@ def test_retrieval_prefers_documents_on_the_same_matter():
     assert packing.sequences(4096 + 13).tolist() == [0, 2048, 4096, 4104, 4108]
 
 
+def test_every_term_retrieves_and_every_neighbour_is_used():
+    rare = [f"rare{k}" for k in range(30)]
+    many = packing.Index(pa.array([" ".join([*rare, "last"]), *(f"{w} {w}x" for w in rare), "last y"]))
+    assert set(many.neighbours(0, np.arange(32) == 0)) == set(range(1, 32))
+    index = packing.Index(pa.array([f"common a{k}" if k % 2 == 0 else f"b{k} c{k}" for k in range(120)]))
+    assert all(k % 2 == 0 for k in packing.order(index, np.array([10] * 120))[:60])
+
+
 @pytest.mark.parametrize("run", [substrings.substring_dedup, lines.line_dedup, near.near_duplicates, lambda d: packing.pack(d, tokens.vocabulary())])
 def test_empty_tables(run, none):
     assert run(none).count() == 0
