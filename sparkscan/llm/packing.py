@@ -1,14 +1,22 @@
 """Packing by lexical retrieval: an unused neighbour of the seed document comes next.
 
-Documents are dealt into shards of bounded size by a hash of their id.  Each shard has its own
-BM25 inverted index.  A window's seed is the document that it starts in; all terms
-of the seed retrieve neighbours, and unused ones fill the window, best first.  A document that
-outruns its window is cut and seeds the next one.  So every window of a shard but the last is
-full; what is left is cut into lengths that are powers of two, and no sequence has any padding.
+A window's seed is the document that it starts in; all terms of the seed retrieve neighbours by
+BM25 over the whole corpus, and unused ones fill the window, best first.  A document that
+outruns its window is cut and seeds the next one.  Every window is full but for the end of the
+last, which is cut into lengths that are powers of two, so no sequence has any padding.
+
+A table of one shard is packed in one task.  A larger one is dealt into shards of bounded size;
+document frequencies and the mean length are counted over all of them (``Shards``), and many
+chains of windows grow in rounds (``chains``): a round asks all shards for the best unused neighbours of every
+chain's seed.  A document that several seeds ask for goes to the one it scores higher with, and
+a seed asks again until its window is full or no unused neighbour is left anywhere.  Then the next
+unused document follows.  What a chain ends with behind its last full window is packed with
+the other chains' ends.  Texts and terms stay in the shards; the driver holds about 20 bytes a document.
+The work of exact retrieval grows with windows times documents.
 
 Defined results: a null or empty text has its end id alone; rows with the same id are separate
 documents; a null id is kept; an empty table gives no rows; only the id and text columns are
-read.  ``sequence_id`` is the shard's number times 2**32 plus the sequence's place in it.
+read.  ``sequence_id`` numbers the sequences from 0.
 """
 
 from __future__ import annotations
@@ -22,42 +30,56 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import tokens
-from .tables import pick, pieces_for
+from .blocks import MESSAGE, messages, pack as packed, parts, slice_of, unpack
+from .tables import pick, pieces_for, shared_dir
 
 WINDOW = 2048
 END = 1
 SHARD_BYTES = 3 << 20  # of input for each shard
 K1, B = 1.2, 0.75
+ROUNDS = 12  # that fill all windows, if every chain fills one a round
+CHAINS = 1 << 13  # at most
+ANSWERS = 16  # neighbours a seed gets in a round; it asks again for more
+UNITS = 1e6  # of a score of 1: scores are compared as whole numbers
+CELLS = 1 << 20  # of a piece of the score matrix
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+def postings(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(hash of the word, document, count) by hash and document, and the words of each document."""
+    keys, docs, sizes = [], [], []
+    for i, _, buf, offs in A.slabs(texts):
+        starts, ends = A.runs(A.NOT_SPACE[buf], offs)
+        n = np.diff(A.owners(starts, offs))
+        keys.append(A.hash_spans(A.lower_ascii(buf), starts, ends))
+        docs.append(np.repeat(np.arange(i, i + len(n), dtype=np.int32), n))
+        sizes.append(n)
+    key, doc, size = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (docs, np.int32), (sizes, np.int64)))
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return key[at], doc[at], np.diff(np.append(at, len(key))), size
+
+
+def weights(idf: np.ndarray, tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1)))
+
+
 class Index:
-    """BM25 over one shard."""
+    """BM25 over documents in memory."""
 
     def __init__(self, texts: pa.Array):
-        keys, docs, sizes = [], [], []
-        for i, _, buf, offs in A.slabs(texts):
-            starts, ends = A.runs(A.NOT_SPACE[buf], offs)
-            n = np.diff(A.owners(starts, offs))
-            keys.append(A.hash_spans(A.lower_ascii(buf), starts, ends))
-            docs.append(np.repeat(np.arange(i, i + len(n), dtype=np.int32), n))
-            sizes.append(n)
-        key, doc, size = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (docs, np.int32), (sizes, np.int64)))
+        key, doc, tf, size = postings(texts)
         self.n = len(size)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(key)))
-        key, doc = key[at], doc[at]
         term = np.cumsum(np.append(0, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         df = np.bincount(term)
         shared = df[term] > 1  # a term of one document retrieves nothing
         term, doc, tf = term[shared], doc[shared], tf[shared]
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1))) if len(term) else np.zeros(0)
+        self.weight = weights(idf[term], tf, size[doc], size.mean()) if len(term) else np.zeros(0)
         self.doc = doc
         self.first = np.searchsorted(term, np.arange(len(df) + 1))
         by_doc = np.lexsort((term, doc))
@@ -107,7 +129,6 @@ def sequences(total: int) -> np.ndarray:
 
 def _pack(vocabulary: str, end: int):
     def run(shard: pa.Table) -> pa.Table:
-        number = shard.column("shard")[0].as_py()
         shard = shard.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         texts = shard.column("text").combine_chunks()
         ids, sizes = [], []
@@ -128,7 +149,264 @@ def _pack(vocabulary: str, end: int):
         raw = memoryview(ids).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
         doc = placed[which]
-        return pa.Table.from_arrays([shard.column("doc_id").combine_chunks().take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, sizes[doc], number * (1 << 32) + seq, at - cuts[seq]))], schema=OUT)
+        return pa.Table.from_arrays([shard.column("doc_id").combine_chunks().take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, sizes[doc], seq, at - cuts[seq]))], schema=OUT)
+
+    return run
+
+
+def _condense(vocabulary: str, end: int):
+    """A shard as packed arrays: ids of its documents and their tokens, and its postings by term."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        number = shard.column("shard")[0].as_py()
+        shard = shard.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        texts, names = shard.column("text").combine_chunks(), shard.column("doc_id").combine_chunks()
+        ids, sizes = [], []
+        for _, _, x, offs in tokens.encoder(vocabulary).encode(texts):
+            ids.append(np.insert(x, offs[1:], end))
+            sizes.append(np.diff(offs) + 1)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        kind = np.uint16 if ids.max() < 1 << 16 else np.uint32
+        key, doc, tf, words = postings(texts)
+        keys, count = np.unique(key, return_counts=True)
+        data = packed(keys, count.astype(np.uint32), doc.astype(np.uint32), tf.astype(np.uint32), words)
+        named = packed(names.fill_null(0).to_numpy(zero_copy_only=False), names.is_null().to_numpy(zero_copy_only=False).view(np.uint8))
+        return pa.table({"shard": pa.array([number]), "n": pa.array([len(sizes)]), "words": pa.array([int(words.sum())]), "sizes": pa.array([packed(sizes.astype(np.uint32))]), "names": pa.array([named]), "ids": pa.array([ids.astype(kind).tobytes()]), "wide": pa.array([kind is np.uint32]), "postings": pa.array([data])})
+
+    return run
+
+
+CONDENSED = "shard long, n long, words long, sizes binary, names binary, ids binary, wide boolean, postings binary"
+POSTINGS = (np.uint64, np.uint32, np.uint32, np.uint32, np.int64)
+
+
+def _write(df: DataFrame) -> DataFrame:
+    """The same rows from a written table of small files, which Spark spreads over its cores."""
+    path = shared_dir(df.sparkSession)
+    df.write.option("maxRecordsPerFile", 2).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Answers each shard's (term, documents) of a slice with the documents of all shards."""
+    got = [(b, s, *x) for b, s, x in parts(table, np.uint64, np.uint32)]
+    keys, which = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
+    total = np.bincount(which, np.concatenate([x[3] for x in got]), len(keys)).astype(np.uint32)[which]
+    ends = np.cumsum([0, *(len(x[2]) for x in got)])
+    return pa.table({"block": pa.array([x[0] for x in got], pa.int64()), "slice": pa.array([x[1] for x in got], pa.int64()), "data": pa.array([packed(total[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+
+
+def _with_frequencies(shard: pa.Table, answers: pa.Table) -> pa.Table:
+    """A shard's postings of terms that two or more documents of the corpus hold, with their frequency."""
+    keys, count, doc, tf, words = unpack(shard["postings"][0].as_buffer(), *POSTINGS)
+    df = np.concatenate([np.zeros(0, np.uint32), *(x for _, _, (x,) in parts(answers, np.uint32))])
+    some = df > 1
+    keep = np.repeat(some, count)
+    return pa.table({"shard": shard["shard"].combine_chunks(), "data": pa.array([packed(keys[some], count[some], doc[keep], tf[keep], words, df[some])], pa.binary())})
+
+
+def _top(q, score, doc, k: int):
+    """The k best of each query, best first, ties to the earlier document."""
+    order = np.lexsort((doc, -score, q))
+    q, score, doc = q[order], score[order], doc[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], score[keep], doc[keep]
+
+
+def _scores(keys, count, doc, weight, n: int, terms, term_of, first, k: int):
+    """(query, score, document) of the k best documents of a shard for each query. A query is a run of term_of, places in terms."""
+    at = np.searchsorted(keys, terms)
+    at[at == len(keys)] = 0
+    place = np.where(keys[at] == terms, at, -1)[term_of]
+    q = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    q, place = q[place >= 0], place[place >= 0]
+    begin = np.cumsum(count) - count
+    dense = np.flatnonzero(count * 32 > n)  # terms of so many documents go faster as a matrix product
+    row = np.full(len(keys), -1)
+    row[dense] = np.arange(len(dense))
+    matrix = np.zeros((len(dense), n))
+    post = A.ragged(begin[dense], count[dense])
+    matrix[np.repeat(np.arange(len(dense)), count[dense]), doc[post]] = weight[post]
+    bits, out = int(n).bit_length(), []
+    step = max(1, CELLS // n)
+    for a in range(0, len(first) - 1, step):
+        b = min(a + step, len(first) - 1)
+        mine = slice(*np.searchsorted(q, (a, b)))
+        qs, ts = q[mine] - a, place[mine]
+        wide = row[ts] >= 0
+        asked = np.zeros((b - a, len(dense)))
+        asked[qs[wide], row[ts[wide]]] = 1
+        score = asked @ matrix
+        qs, ts = qs[~wide], ts[~wide]
+        post = A.ragged(begin[ts], count[ts])
+        score += np.bincount(np.repeat(qs, count[ts]) * n + doc[post], weight[post], (b - a) * n).reshape(b - a, n)
+        rank = (np.rint(score * UNITS).astype(np.int64) << bits) + np.arange(n - 1, -1, -1)  # all different
+        if n > k:
+            rank = np.partition(rank, n - k, axis=1)[:, n - k :]
+        of, col = np.nonzero(rank >> bits)
+        best = rank[of, col]
+        out.append((of + a, best >> bits, n - 1 - (best & ((1 << bits) - 1))))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+class Shards:
+    """BM25 over all shards. A document's number is its place among all documents, by shard."""
+
+    def __init__(self, dealt: DataFrame, slices: int, vocabulary: str, end: int):
+        self.spark = dealt.sparkSession
+        self.base = _write(dealt.groupBy("shard").applyInArrow(_condense(vocabulary, end), CONDENSED))
+
+        def emit(batches):
+            for batch in batches:
+                for number, data in zip(batch["shard"].to_pylist(), batch["postings"], strict=True):
+                    keys, count, *_ = unpack(data.as_buffer(), *POSTINGS)
+                    yield from messages(number, slice_of(keys, slices), slices, keys, count).to_batches()
+
+        answers = self.base.select("shard", "postings").mapInArrow(emit, MESSAGE).groupBy("slice").applyInArrow(_frequencies, MESSAGE)
+        self.index = _write(self.base.select("shard", "postings").groupBy("shard").cogroup(answers.groupBy("block")).applyInArrow(_with_frequencies, "shard long, data binary"))
+        rows = sorted(self.base.select("shard", "n", "words", "sizes").collect())
+        self.starts = dict(zip((r.shard for r in rows), np.cumsum([0, *(r.n for r in rows)]).tolist(), strict=False))
+        self.sizes = np.concatenate([np.zeros(0, np.uint32), *(unpack(r.sizes, np.uint32)[0] for r in rows)])
+        self.n, self.mean = len(self.sizes), sum(r.words for r in rows) / max(len(self.sizes), 1)
+
+    def _terms(self, seeds: np.ndarray):
+        """The seeds' terms (distinct hashes), each seed's places among them, and the runs of the seeds."""
+        starts, shared = self.starts, self.spark.sparkContext.broadcast(np.sort(seeds))
+
+        def emit(batches):
+            for batch in batches:
+                for number, data in zip(batch["shard"].to_pylist(), batch["data"], strict=True):
+                    keys, count, doc, _, words, _ = unpack(data.as_buffer(), *POSTINGS, np.uint32)
+                    asked = np.zeros(len(words), bool)
+                    lo = starts[number]
+                    asked[shared.value[slice(*np.searchsorted(shared.value, (lo, lo + len(words))))] - lo] = True
+                    mine = asked[doc]
+                    yield pa.record_batch({"data": pa.array([packed(doc[mine].astype(np.int64) + lo, np.repeat(keys, count)[mine])], pa.binary())})
+
+        got = [unpack(r.data, np.int64, np.uint64) for r in self.index.mapInArrow(emit, "data binary").collect()]
+        shared.unpersist()
+        doc, key = (np.concatenate(x) for x in zip(*got, strict=True))
+        rank = np.argsort(seeds)
+        q = rank[np.searchsorted(seeds[rank], doc)]
+        order = np.lexsort((key, q))
+        terms, term_of = np.unique(key[order], return_inverse=True)
+        return terms, term_of.astype(np.int32), np.searchsorted(q[order], np.arange(len(seeds) + 1))
+
+    def neighbours(self, seeds: np.ndarray, used: np.ndarray, k: int):
+        """(seed's place in seeds, score, document) of each seed's k best unused documents in the corpus that share a term with it."""
+        starts, total, mean = self.starts, self.n, self.mean
+        shared = self.spark.sparkContext.broadcast((*self._terms(seeds), np.packbits(used)))
+        per = 512
+
+        def emit(batches):
+            terms, term_of, first, bits = shared.value
+            used = np.unpackbits(bits, count=total).astype(bool)
+            q, score, found = (np.zeros(0, np.int64) for _ in range(3))
+            for batch in batches:
+                for number, data in zip(batch["shard"].to_pylist(), batch["data"], strict=True):
+                    keys, count, doc, tf, words, df = unpack(data.as_buffer(), *POSTINGS, np.uint32)
+                    lo = starts[number]
+                    free = np.flatnonzero(~used[lo : lo + len(words)])
+                    if not len(free) or not len(keys):
+                        continue
+                    place = np.full(len(words), -1)
+                    place[free] = np.arange(len(free))
+                    term, doc = np.repeat(np.arange(len(keys)), count), place[doc]
+                    term, tf, doc = term[doc >= 0], tf[doc >= 0], doc[doc >= 0]
+                    idf = np.log1p((total - df + 0.5) / (df + 0.5))
+                    weight = weights(idf[term], tf, words[free][doc], mean)
+                    more = _scores(keys, np.bincount(term, minlength=len(keys)), doc, weight, len(free), terms, term_of, first, k)
+                    q, score, found = _top(*(np.concatenate(x) for x in zip((q, score, found), (more[0], more[1], free[more[2]] + lo), strict=True)), k)
+            yield from messages(0, q // per, -(-(len(first) - 1) // per), q, score, found).to_batches()
+
+        def merge(table):
+            got = [x for _, _, x in parts(table, np.int64, np.int64, np.int64)]
+            return pa.table({"data": pa.array([packed(*_top(*(np.concatenate(x) for x in zip(*got, strict=True)), k))], pa.binary())})
+
+        got = [unpack(r.data, np.int64, np.int64, np.int64) for r in self.index.mapInArrow(emit, MESSAGE).groupBy("slice").applyInArrow(merge, "data binary").collect()]
+        shared.unpersist()
+        return [np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*got, strict=True) if got else ((), (), ()))]
+
+
+def chains(shards: Shards) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chain and place in it of each document, and the length of each chain."""
+    sizes, n = shards.sizes.astype(np.int64), shards.n
+    many = max(1, min(CHAINS, int(sizes.sum()) // (WINDOW * ROUNDS)))
+    used, chain, place, length, seed = np.zeros(n, bool), np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(many, np.int64), np.full(many, -1)
+    following, k = 0, ANSWERS
+
+    def put(c: int, doc: int) -> bool:
+        """Does it reach the window's end?"""
+        used[doc], chain[doc], place[doc] = True, c, length[c]
+        before, length[c] = length[c] // WINDOW, length[c] + sizes[doc]
+        return length[c] // WINDOW != before
+
+    def renew(c: int) -> None:
+        """The next unused documents follow, up to one that leaves room in a window and is its seed."""
+        nonlocal following
+        seed[c] = -1
+        while seed[c] < 0:
+            while following < n and used[following]:
+                following += 1
+            if following == n:
+                return
+            put(c, following)
+            seed[c] = following if length[c] % WINDOW else -1
+
+    for c in range(many):
+        renew(c)
+    while not used.all():
+        active = np.flatnonzero(seed >= 0)
+        q, score, doc = shards.neighbours(seed[active], used, k)
+        full, best = np.zeros(len(active), bool), np.lexsort((doc, q, -score))
+        for i, d in zip(q[best].tolist(), doc[best].tolist(), strict=True):
+            if not full[i] and not used[d] and put(active[i], d):
+                full[i], seed[active[i]] = True, d if length[active[i]] % WINDOW else -1
+        last = ~full & (np.bincount(q, minlength=len(active)) < k)  # these have no unused neighbour left
+        for c in active[last | (seed[active] < 0)].tolist():
+            renew(c)
+        if 2 * full.sum() < len(active):  # many seeds ask for the same documents
+            k = min(2 * k, 64 * ANSWERS)
+    return chain, place, length
+
+
+def _pieces(length: np.ndarray):
+    """Pieces of each shard's documents. Full windows of all chains lie on one line, and after them the chains' ends."""
+    whole = length // WINDOW * WINDOW
+    first, ends = np.cumsum(whole) - whole, np.cumsum(length - whole) - (length - whole) + whole.sum()
+    total = int(length.sum())
+    tail = total // WINDOW * WINDOW
+    short = np.append(sequences(total)[tail // WINDOW :], total)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                size, (name, null), (chain, place) = unpack(row["sizes"], np.uint32)[0].astype(np.int64), unpack(row["names"], np.int64, np.uint8), unpack(row["placed"], np.int32, np.int64)
+                ids = np.frombuffer(row["ids"], np.uint32 if row["wide"] else np.uint16).astype("<u4")
+                inside = np.clip(whole[chain] - place, 0, size)  # tokens in full windows of the chain
+                doc = np.tile(np.arange(len(size)), 2)
+                start = np.concatenate([np.zeros(len(size), np.int64), inside])
+                n = np.concatenate([inside, size - inside])
+                at = np.concatenate([first[chain] + place, ends[chain] + np.maximum(place - whole[chain], 0)])
+                doc, start, n, at = (x[n > 0] for x in (doc, start, n, at))
+                windows = (at + n - 1) // WINDOW - at // WINDOW + 1
+                which = np.repeat(np.arange(len(n)), windows)
+                lo = np.maximum(A.ragged(at // WINDOW, windows) * WINDOW, at[which])
+                extra = [(i, c) for c in short[1:-1].tolist() for i in np.flatnonzero((at < c) & (at + n > c)).tolist()]
+                which, lo = np.append(which, [i for i, _ in extra]).astype(np.int64), np.append(lo, [c for _, c in extra]).astype(np.int64)
+                order = np.lexsort((lo, which))
+                which, lo = which[order], lo[order]
+                hi = (at + n)[which]
+                same = np.flatnonzero(which[1:] == which[:-1])
+                hi[same] = lo[same + 1]
+                start, doc = start[which] + lo - at[which], doc[which]
+                part = np.searchsorted(short, lo, "right") - 1
+                seq = np.where(lo < tail, lo // WINDOW, tail // WINDOW + part)
+                offset = lo - np.where(lo < tail, seq * WINDOW, short[part])
+                source = (np.cumsum(size) - size)[doc] + start
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(source.tolist(), (source + hi - lo).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(name[doc], mask=null[doc].astype(bool)), *(pa.array(x, pa.int64()) for x in (start, hi - lo, crc, size[doc], seq, offset))], schema=OUT)
 
     return run
 
@@ -138,4 +416,13 @@ def pack(docs: DataFrame, vocabulary: str, end: int = END, doc_id: str = "doc_id
     n = pieces_for(docs, SHARD_BYTES)
     rows = pick(docs, doc_id, text)
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return rows.withColumn("shard", F.pmod(key, F.lit(n))).groupBy("shard").applyInArrow(_pack(vocabulary, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = rows.withColumn("shard", F.pmod(key, F.lit(n)))
+    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    if n == 1:
+        return dealt.groupBy("shard").applyInArrow(_pack(vocabulary, end), out)
+    shards = Shards(dealt, -(-n // 8), vocabulary, end)
+    chain, place, length = chains(shards)
+    edges = [*shards.starts.values(), shards.n]
+    placed = [(s, packed(chain[a:b], place[a:b])) for s, a, b in zip(shards.starts, edges, edges[1:], strict=False)]
+    placed = docs.sparkSession.createDataFrame(placed, "shard long, placed binary")
+    return shards.base.select("shard", "sizes", "names", "ids", "wide").join(placed, "shard").mapInArrow(_pieces(length), out)

@@ -8,6 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkscan.llm import lines, near, packing, shingles, substrings, tokens
 from sparkscan.llm.components import components
@@ -193,6 +194,43 @@ def test_every_term_retrieves_and_every_neighbour_is_used():
     assert all(k % 2 == 0 for k in packing.order(index, np.array([10] * 120))[:60])
 
 
+def test_retrieval_covers_all_shards(docs):
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(7)))
+    shards = packing.Shards(dealt, 3, tokens.vocabulary(), 1)
+    rows = sorted(((r.shard, r.doc_id, r.text) for r in dealt.collect()))
+    assert shards.n == len(rows) and len(shards.starts) == 7
+    whole = packing.Index(pa.array([r[2] for r in rows]))
+    used = np.arange(len(rows)) % 5 == 0
+    seeds = np.array([50, 0, 5, 100, 15, 35])
+    q, score, doc = shards.neighbours(seeds, used, len(rows))
+    found = 0
+    for k, seed in enumerate(seeds.tolist()):
+        want = whole.neighbours(seed, used)
+        got = doc[q == k]
+        assert set(got.tolist()) == set(want)
+        terms = whole.query[whole.query_of[seed] : whole.query_of[seed + 1]]
+        full = np.zeros(len(rows))
+        for t in terms:
+            full[whole.doc[whole.first[t] : whole.first[t + 1]]] += whole.weight[whole.first[t] : whole.first[t + 1]]
+        assert np.abs(score[q == k] / packing.UNITS - full[got]).max(initial=0) < 1e-5
+        few = shards.neighbours(seeds[k : k + 1], used, 3)
+        assert few[2].tolist() == got[np.lexsort((got, -score[q == k]))][:3].tolist()
+        found += len(got)
+    assert found > 100
+
+
+def test_packing_joins_documents_of_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 8_000)
+    topics = [(k, " ".join(f"topic{k % 6}word{j}" for j in range(30))) for k in range(120)]
+    rows = packing.pack(spark.createDataFrame(topics, "doc_id long, text string"), tokens.vocabulary()).collect()
+    line = [r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert sorted(line) == list(range(120)) and sum(a % 6 != b % 6 for a, b in zip(line, line[1:], strict=False)) <= 12
+    size = {}
+    for r in rows:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    assert sum(n < 2048 for n in size.values()) <= 11
+
+
 @pytest.mark.parametrize("run", [substrings.substring_dedup, lines.line_dedup, near.near_duplicates, lambda d: packing.pack(d, tokens.vocabulary())])
 def test_empty_tables(run, none):
     assert run(none).count() == 0
