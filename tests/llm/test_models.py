@@ -32,6 +32,29 @@ def test_neighbours(spark):
     assert [v for v, _ in by[200]][:20] == [*range(201, 221)] or x[200] @ x[200] < max(x @ x[200])
 
 
+@pytest.mark.parametrize("clusters", [0, 100])
+def test_recall_outside_the_sample(spark, clusters):
+    rng = np.random.default_rng(7)
+    n = 5 * neighbours.SAMPLE
+    x = rng.normal(size=(n, 16))
+    if clusters:
+        x = 3 * rng.normal(size=(clusters, 16))[rng.integers(0, clusters, n)] + 0.5 * x
+    x = (x * rng.lognormal(0, 0.5, (n, 1))).astype(np.float32)  # unequal norms
+    rows = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    by = {}
+    for r in neighbours.nearest(rows).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    x, hit = x.astype(float), 0
+    assert len(by) == n // 20
+    for q, found in by.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(found & set(np.argpartition(-score, 20)[:20].tolist()))
+    recall = hit / (20 * len(by))
+    print(f"recall of {n} vectors, {clusters} clusters: {recall:.4f}")
+    assert recall >= 0.9
+
+
 def test_few_neighbours(spark):
     found = neighbours.nearest(vectors(spark, np.eye(4, dtype=np.float32)[:3])).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
