@@ -4,6 +4,8 @@ All templates go into one automaton.  A document's words stream through it and g
 matching statistics: at each word, the longest suffix that occurs in some template.
 Base phrases are suffixes of such matches; long maximal matches are chained in order
 within each template and the template's covered share decides the method's labels.
+``spans`` has each chain that covers enough: label, number of the template, first word and
+the word past the last in the document, and share; chains of one template don't overlap.
 
 Only word runs whose neighbouring words also neighbour in a template can hold a match
 of two words or more, so the automaton is stepped on those runs alone: the statistics
@@ -16,6 +18,7 @@ id and text columns are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -57,7 +60,8 @@ MIN_MATCH = 4  # words of a match that takes part in a chain
 MIN_COVER = 0.6  # of a template's words
 MAX_GAP = 8  # words skipped between two links of a chain, in document or template
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+SPANS = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("share", pa.float64())]))
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", SPANS)])
 WORD = A.table([*range(48, 58), *range(97, 123), *range(128, 256)])
 
 
@@ -169,7 +173,7 @@ class Scanner:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         code = np.where(self.hashes[at] == h, self.order[at], -1) if len(h) else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(docs), np.diff(first))
-        out = [np.zeros(docs, np.int64), [None] * docs, [None] * docs, [set() for _ in range(docs)], [set() for _ in range(docs)], np.zeros(docs)]
+        out = [np.zeros(docs, np.int64), [None] * docs, [None] * docs, [set() for _ in range(docs)], [set() for _ in range(docs)], np.zeros(docs), [[] for _ in range(docs)]]
         if len(code) > 1:
             both = (code[:-1] >= 0) & (code[1:] >= 0) & (doc[:-1] == doc[1:])
             pair = code[:-1] * len(self.vocabulary) + code[1:]
@@ -186,7 +190,7 @@ class Scanner:
         join = lambda sets: [",".join(sorted(s)) for s in sets]
         for own, more in zip(out[4], out[3], strict=True):
             own |= more
-        return batch(OUT, ids, np.diff(first), out[0], out[1], out[2], join(out[3]), join(out[4]), out[5])
+        return batch(OUT, ids, np.diff(first), out[0], out[1], out[2], join(out[3]), join(out[4]), out[5], out[6])
 
     def _run(self, codes: list[int], at: int, d: int, out: list, matches: dict[int, list]) -> None:
         count, firsts, lasts, labels = out[:4]
@@ -214,23 +218,57 @@ class Scanner:
                 by.setdefault(template, []).append((start, end - length, length))
         for template, links in by.items():
             links.sort()
-            best: list[int] = []
-            for k, (s, t, n) in enumerate(links):
-                most = 0
-                for j in range(k - 1, max(-1, k - 33), -1):
-                    s0, t0, n0 = links[j]
-                    if 0 <= s - s0 - n0 <= MAX_GAP and 0 <= t - t0 - n0 <= MAX_GAP:
-                        most = max(most, best[j])
-                best.append(most + n)
             words, label = self.templates[template]
-            share = max(best) / len(words)
-            out[5][d] = max(out[5][d], share)
-            if share >= MIN_COVER:
-                out[4][d].add(label)
+            best, first = _covers(links)
+            out[5][d] = max(out[5][d], max(best) / len(words))
+            while links:
+                taken = _apart(links, best, first, MIN_COVER * len(words))
+                for k in taken:
+                    out[4][d].add(label)
+                    out[6][d].append({"label": label, "template": template, "first_word": first[k], "end_word": links[k][0] + links[k][2], "share": best[k] / len(words)})
+                spans = sorted((first[k], links[k][0] + links[k][2]) for k in taken)
+                links = [x for x in links if not _meets(spans, x[0], x[0] + x[2])] if spans else []
+                if links:  # what is left may hold chains that led through the taken ones
+                    best, first = _covers(links)
+        out[6][d].sort(key=lambda x: (x["first_word"], x["end_word"], x["template"]))
+
+
+def _covers(links: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Of the best chain that ends in each link: words and the document's first word. Links end in the order in which they start."""
+    best: list[int] = []
+    first: list[int] = []
+    for k, (s, t, n) in enumerate(links):
+        most, start, j = 0, s, k - 1
+        while j >= 0 and s - links[j][0] - links[j][2] <= MAX_GAP:
+            s0, t0, n0 = links[j]
+            if s >= s0 + n0 and 0 <= t - t0 - n0 <= MAX_GAP and best[j] > most:
+                most, start = best[j], first[j]
+            j -= 1
+        best.append(most + n)
+        first.append(start)
+    return best, first
+
+
+def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Does one of the sorted spans, which lie apart, meet start .. end?"""
+    k = bisect_left(spans, (end,))
+    return k > 0 and spans[k - 1][1] > start
+
+
+def _apart(links: list[tuple[int, int, int]], best: list[int], first: list[int], least: float) -> list[int]:
+    """Ends of chains of enough words, longest first, that don't meet one another."""
+    spans: list[tuple[int, int]] = []
+    taken = []
+    for k in sorted((k for k, n in enumerate(best) if n >= least), key=lambda k: (-best[k], first[k])):
+        end = links[k][0] + links[k][2]
+        if not _meets(spans, first[k], end):
+            insort(spans, (first[k], end))
+            taken.append(k)
+    return taken
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
-    """Base places, labels and the best covered share of a template, by row of docs."""
+    """Base places, labels, the best covered share of a template and covered spans, by row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base, notices)
@@ -238,4 +276,4 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
             for i, j, buf, offs in A.slabs(b.column(1)):
                 yield scanner.scan(b.column(0)[i:j], buf, offs)
 
-    return pick(docs, doc_id, text).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return pick(docs, doc_id, text).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,template:int,first_word:long,end_word:long,share:double>>")

@@ -102,6 +102,17 @@ def test_matching_statistics_and_chains():
     assert out[0]["labels"] == "x" and out[0]["score"] == 1.0 and out[1]["labels"] == ""
 
 
+def test_licence_spans():
+    scanner = licences.Scanner({}, {"x": ["a b c d e f g h"], "y": [" ".join(f"w{k}" for k in range(400))]})
+    broken = " ".join(f"w{k}" if k % 5 < 4 else "zz" for k in range(400))  # 80 matches, each after a gap of one word
+    got = scanner.scan(pa.array([1, 2, 3]), *next(A.slabs(pa.array(["zz a b c d zz e f g h zz zz a b c d e f g h a b c d e", broken, "a b c"])))[2:]).to_pylist()
+    assert [tuple(x.values()) for x in got[0]["spans"]] == [("x", 0, 1, 10, 1.0), ("x", 0, 12, 20, 1.0), ("x", 0, 20, 25, 0.625)]
+    assert [tuple(x.values()) for x in got[1]["spans"]] == [("y", 1, 0, 399, 0.8)] and got[2]["spans"] == []
+    # 40 matches lie between the parts of x's chain, within the gap's width in words
+    inner = [[0, 0, 4], *([4 + k // 10, 100, 4] for k in range(40)), [8, 4, 4]]
+    assert licences._covers([tuple(x) for x in inner])[0][-1] == 8
+
+
 PATTERNS = [(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), (2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
