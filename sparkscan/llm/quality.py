@@ -5,9 +5,9 @@ words (hashed into ``BUCKETS`` buckets), and keeps the ``COMMON`` heaviest bucke
 language's common words.  ``assess`` computes rule counts and both Jensen-Shannon
 distances of each document from its language's reference.
 
-Defined results: a null text is an empty one; a null or rare language (under
-``RARE`` of all words) is held against the reference of all languages together; repeated
-rows each give a row; an empty table gives no rows; columns other than the three
+Defined results: a null text is an empty one; a null language is a language
+of its own; a language of fewer than ``ENOUGH`` words, whatever its share, has distances from all languages
+together, by which its documents are not judged; repeated rows each give a row; an empty table gives no rows; columns other than the three
 named are never read.
 """
 
@@ -25,7 +25,7 @@ from .tables import batch, pick
 
 BUCKETS = 1 << 14
 COMMON = 128
-RARE = 0.001
+ENOUGH = 32 * COMMON  # words of a language that make a reference
 #: Verdict: distances up to these plus SLACK / sqrt(words) pass; texts under MIN_WORDS are not judged by distance.
 MAX_CLASS, MAX_WORD, SLACK, MIN_WORDS = 0.18, 0.42, 1.2, 60
 NO_LANG, ALL = "", "*"
@@ -41,7 +41,7 @@ CLASSES = 8
 _SYMBOL = A.table(b"#*$%&|<>")
 
 REF = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("class_distance", pa.float64()), ("word_distance", pa.float64()), ("judged", pa.bool_())])
 
 
 def _words(buf: np.ndarray, offs: np.ndarray):
@@ -88,7 +88,7 @@ def _sparse(lang: str, t: np.ndarray) -> pa.RecordBatch:
 def reference(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple]:
     """Language -> (class shares, common buckets, shares of those and of all other words).
 
-    Counted over every document.  At most 1 / RARE languages, each of COMMON + CLASSES
+    Counted over every document.  Languages of ENOUGH words, each of COMMON + CLASSES
     numbers, reach the driver.
     """
     counts = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -97,8 +97,7 @@ def reference(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
     top = F.slice(F.sort_array(F.collect_list(F.when(word, F.struct("n", "bucket"))), asc=False), 1, COMMON).alias("common")
     per = counts.groupBy("lang").agg(F.sum(F.when(word, F.col("n"))).alias("words"), F.collect_list(F.when(~word, F.struct("bucket", "n"))).alias("classes"), top)
     out = {}
-    total = per.where(F.col("lang") == ALL).select(F.col("words").alias("total"))
-    for row in per.join(F.broadcast(total), F.col("words") >= RARE * F.col("total")).collect():
+    for row in per.where((F.col("words") >= ENOUGH) | (F.col("lang") == ALL)).collect():
         if not row.words:
             continue
         classes = np.zeros(CLASSES)
@@ -121,20 +120,19 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _assess(refs: dict[str, tuple]):
     names = sorted(refs)
-    slot = np.full((max(len(names), 1), BUCKETS), COMMON, np.int64)
-    for k, name in enumerate(names):
-        slot[k, refs[name][1]] = np.arange(len(refs[name][1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_of = {name: k for k, name in enumerate(names)}
         for b in batches:
             langs = b.column(2).fill_null(NO_LANG).dictionary_encode()
             to = np.array([code_of.get(x, code_of.get(ALL, 0)) for x in langs.dictionary.to_pylist()] or [0])
-            codes = to[langs.indices.to_numpy(zero_copy_only=False)]
+            own = np.array([x in code_of for x in langs.dictionary.to_pylist()] or [False])
+            indices = langs.indices.to_numpy(zero_copy_only=False)
+            codes, judged = to[indices], own[indices]
             for i, j, buf, offs in A.slabs(b.column(1)):
-                yield _rows(b.column(0)[i:j], buf, offs, codes[i:j])
+                yield _rows(b.column(0)[i:j], buf, offs, codes[i:j], judged[i:j])
 
-    def _rows(ids, buf, offs, code):
+    def _rows(ids, buf, offs, code, judged):
         docs = len(offs) - 1
         inside, starts, ends, first = _words(buf, offs)
         n = np.diff(first)
@@ -165,23 +163,27 @@ def _assess(refs: dict[str, tuple]):
         class_d, word_d = np.zeros(docs), np.zeros(docs)
         if names:
             classes, bucket = _classes(buf, offs).astype(float), _buckets(buf, starts, ends)
-            which = np.bincount(doc * (COMMON + 1) + slot[code[doc], bucket], minlength=docs * (COMMON + 1)).reshape(docs, -1).astype(float)
+            used, row = np.unique(code, return_inverse=True)
+            slot = np.full((len(used), BUCKETS), COMMON, np.int64)
+            for k, name in enumerate(used):
+                slot[k, refs[names[name]][1]] = np.arange(len(refs[names[name]][1]))
+            which = np.bincount(doc * (COMMON + 1) + slot[row[doc], bucket], minlength=docs * (COMMON + 1)).reshape(docs, -1).astype(float)
             classes /= np.maximum(classes.sum(axis=1, keepdims=True), 1)
             which /= np.maximum(n[:, None], 1)
-            for k in np.unique(code):
+            for k in used:
                 mine = code == k
                 ref, common, shares = refs[names[k]]
                 full = np.zeros(COMMON + 1)
                 full[: len(common)], full[COMMON] = shares[:-1], shares[-1]
                 class_d[mine], word_d[mine] = distance(classes[mine], ref), distance(which[mine], full)
-        return batch(OUT, ids, n, chars, symbols, dup_lines, repeat, class_d, word_d)
+        return batch(OUT, ids, n, chars, symbols, dup_lines, repeat, class_d, word_d, pa.array(judged))
 
     return run
 
 
 def assess(docs: DataFrame, refs: dict[str, tuple], doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rule counts and distances of each row of docs."""
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
+    """Rule counts and distances of each row of docs, and whether these are from its own language."""
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, judged boolean"
     return pick(docs, doc_id, text, F.col(lang).cast("string").alias("lang")).mapInArrow(_assess(refs), schema)
 
 
@@ -190,8 +192,8 @@ def judge(rows: DataFrame, max_class: float = MAX_CLASS, max_word: float = MAX_W
     n = F.col("n_words")
     slack = SLACK / F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
     base = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
-    near = (n < MIN_WORDS) | ((F.col("class_distance") <= max_class + slack) & (F.col("word_distance") <= max_word + slack))
-    return rows.withColumn("base_failed", base).withColumn("kept", ~base & near)
+    near = (n < MIN_WORDS) | ~F.col("judged") | ((F.col("class_distance") <= max_class + slack) & (F.col("word_distance") <= max_word + slack))
+    return rows.withColumn("base_failed", base).withColumn("kept", ~base & near).drop("judged")
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -75,6 +75,17 @@ def test_divergence_tells_junk_from_prose(spark):
     assert quality.distance(p, p[0])[0] == 0 and quality.distance(p, np.array([0.0, 0.0, 1.0]))[0] == 1
 
 
+def test_a_language_is_judged_alike_whatever_its_share(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7)))
+    prose = lambda: ". ".join(" ".join(rng.choice(["le", "la", "et", "un", word(), word()]) for _ in range(9)) for _ in range(15))
+    rows = [(k, prose(), "fr") for k in range(60)] + [(100, prose().upper() + "!!", "fr"), (101, " | ".join(word() + "&&&" for _ in range(120)), "fr")]
+    rows += [(200, prose(), "it"), (201, prose(), None)]
+    rows += [(300 + k, "the of and to " * 300_000, "en") for k in range(8)]  # 9,600,000 words
+    got = by_id(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(got[k].kept for k in (*range(60), 200, 201)) and not got[100].kept and not got[101].kept
+
+
 def test_licence_places(docs):
     got = by_id(licences.license_scan(docs))
     for k, t in enumerate(texts()):
