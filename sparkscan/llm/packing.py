@@ -11,7 +11,7 @@ chains of windows grow in rounds (``chains``): a round asks all shards for the b
 chain's seed.  A document that several seeds ask for goes to the one it scores higher with, and
 a seed asks again until its window is full or no unused neighbour is left anywhere.  Then the next
 unused document follows.  What a chain ends with behind its last full window is packed with
-the other chains' ends.  Texts and terms stay in the shards; the driver holds about 20 bytes a document.
+the other chains' ends.  Texts and terms stay in the shards; the driver holds some tens of bytes a document.
 The work of exact retrieval grows with windows times documents.
 
 Defined results: a null or empty text has its end id alone; rows with the same id are separate
