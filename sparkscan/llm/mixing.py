@@ -2,22 +2,24 @@
 
 A classifier, trained on the labelled table, gives each document's posterior of each domain.  The
 domains here are those of the labels: good, poor and toxic text.  A document may then be taken with a rate,
-0 or more, and projected gradient descent fits the rates so that expected tokens of each domain match the targets,
-while rates stay near 1 where the targets leave a choice::
+0 or more, and projected gradient descent from rates of 1 fits the rates so that expected tokens of each domain match the targets::
 
-    minimise  1/2 sum_d ((sum_i r_i n_i p_id - T_d) / N)^2 + MU/2 sum_i n_i/N (r_i - 1)^2   with  r_i >= 0
+    minimise  |e|^2   with  e_d = sum_i r_i n_i p_id - T_d  and  r_i = max(0, 1 - p_i . u)
 
-n_i are tokens, p_id posteriors, N all tokens.  The gradient needs nothing of other documents but the
-domains' totals, so a step is one map over the documents and one sum; documents are the rows of a written table and only the D
-totals reach the driver.  In the norm that weighs each rate by n_i the step length 1 / (1 + MU) is safe; momentum
-is restarted when it turns uphill.
+n_i are tokens and p_id posteriors.  The gradient by a rate is p_i . e, which needs nothing of other documents but D totals. Steps are summed
+in u and the sum is projected onto rates of 0 or more, so all rates follow from D numbers, and of all rates that meet the targets the
+descent ends at those nearest to 1 (in squares weighed by tokens). The errors are weighed by the inverse of what a change of the free rates
+does to them, so a small target counts as much as a great one. A step is one map over the written table of posteriors (some 40 bytes a
+document) and one sum, which tries a few step lengths at once.  Steps end when every
+domain is within CLOSE of its own target; where the targets can't be met, after STEPS.
 
-The classifier is fitted on at most SAMPLE labelled rows (a documented bound, chosen by hash of the id); token counts, posteriors
-and fitting cover all documents.
+The classifier is fitted on at most SAMPLE labelled rows (a documented bound, chosen by hash of the id); their texts stay on the executors and the
+driver gets TELLING words and a few numbers a row. Token counts, posteriors and fitting cover all documents.
 
 Defined results: a null or empty text has no tokens, the posteriors of an empty text, and the rate that its posteriors give;
-repeated rows are separate documents; a null id is kept; an empty documents table gives no rows; without labelled rows of
-two domains every posterior is the labelled shares (all good without any) and all rates follow from those; extra columns are carried along untouched by ``mixed``.
+repeated rows are separate documents, and the first of their texts by order is the labelled one; of conflicting labels of one id the
+worse count (toxic before poor before good); a null id is kept; an empty documents table gives no rows; without labelled rows of
+two domains every posterior is the labelled shares (all good without any) and all rates follow from those; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,14 +39,14 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.97, 0.02, 0.01)  # shares of the expected tokens
 SAMPLE = 8_000
 CELLS = 1 << 18  # of hashed words
-TELLING, LEAST_CHI = 512, 30.0
+TELLING, LEAST_CHI = 512, 12.0
 DENSE = CLASSES + 3
 _LETTER = A.table([*range(48, 58), *range(97, 123), *range(128, 256)])
 HEADROOM = 1.03
-MU = 1e-3
 L2 = 2e-4
 STEPS = 60
-CLOSE = 1e-5  # of all tokens: domain totals that move less have settled
+CLOSE = 1e-4  # of a domain's own target
+LENGTHS = (1.0, 0.5, 0.25, 0.0625)  # of a step, all tried in one pass
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), *((f"p_{d}", pa.float64()) for d in DOMAINS)])
 
@@ -99,32 +101,70 @@ class Classifier:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def train(texts: pa.Array, domain: np.ndarray, rounds: int = 300, rate: float = 0.03) -> Classifier:
-    """By full-batch gradient with per-weight steps. Telling words are those whose presence depends on the domain by a
-    chi-squared statistic over LEAST_CHI, at most TELLING of them."""
-    k, n = len(DOMAINS), len(domain)
-    share = np.bincount(domain, minlength=k) / max(n, 1)
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text and domain of at most ``sample`` labelled documents, the first by hash of the id."""
+    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null")
+    label = label.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(label), "doc_id")
+    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
+    return rows.groupBy("doc_id", domain.alias("domain")).agg(F.min("text").alias("text")).select("doc_id", "text", "domain")
+
+
+def telling(sample: DataFrame, sizes: np.ndarray) -> np.ndarray:
+    """Cells of words whose presence depends on the domain by a chi-squared statistic of LEAST_CHI, at most TELLING of them."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CELLS, len(DOMAINS)), np.int64)
+        for b in batches:
+            domain = b.column(2).to_numpy()
+            for i, j, _, (row, cell, _) in _features(b.column(1)):
+                for d in range(len(DOMAINS)):
+                    total[:, d] += np.bincount(cell[domain[i:j][row] == d], minlength=CELLS)
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, d]) for d in range(len(DOMAINS)))], names=["cell", *(f"n{d}" for d in range(len(DOMAINS)))])
+
+    counts = sample.mapInArrow(seen, "cell long, " + ", ".join(f"n{d} long" for d in range(len(DOMAINS)))).groupBy("cell").agg(*(F.sum(f"n{d}").alias(f"n{d}") for d in range(len(DOMAINS))))
+    total = sum((F.col(f"n{d}") for d in range(1, len(DOMAINS))), F.col("n0"))
+    share = total / float(sizes.sum())
+    chi = sum(((F.col(f"n{d}") - float(n) * share) ** 2 / (float(n) * share * (1 - share)) for d, n in enumerate(sizes.tolist()) if n), F.lit(0.0))
+    best = counts.where((total >= 5) & (share < 1)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "cell").limit(TELLING)
+    return np.sort(np.array([r.cell for r in best.select("cell").collect()], np.int64))
+
+
+def train(sample: DataFrame, rounds: int = 300, rate: float = 0.03) -> Classifier:
+    """By full-batch gradient with per-weight steps, over at most TELLING bits and DENSE numbers of each row of the sample."""
+    k = len(DOMAINS)
+    sizes = np.zeros(k)
+    for r in sample.groupBy("domain").count().collect():
+        sizes[r.domain] = r["count"]
     nothing = np.zeros((0, k)), np.zeros(DENSE), np.ones(DENSE), np.zeros((DENSE, k))
-    if np.count_nonzero(share) < 2:
-        return Classifier(np.zeros(0, np.int64), *nothing, np.log(np.maximum(share if n else [1, 0, 0], 1e-6)))
-    parts = [(r + i, c, d) for i, _, _, (r, c, d) in _features(texts)]
-    row, cell, dense = (np.concatenate(x) for x in zip(*parts, strict=True))
-    seen = np.stack([np.bincount(cell[domain[row] == d], minlength=CELLS) for d in range(k)]).astype(float)
-    size = np.maximum(share * n, 1e-9)[:, None]
-    rate_ = seen.sum(axis=0) / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(((seen - size * rate_) ** 2 / (size * rate_ * (1 - rate_))).sum(axis=0), posinf=0)
-    chi[(seen.sum(axis=0) < 5)] = 0
-    cells = np.sort(np.argsort(-chi)[:TELLING])
-    cells = cells[chi[cells] >= LEAST_CHI]
-    model = Classifier(cells, np.zeros((len(cells), k)), dense.mean(axis=0), dense.std(axis=0) + 1e-3, np.zeros((DENSE, k)), np.log(np.maximum(share, 1e-6)))
+    if np.count_nonzero(sizes) < 2:
+        return Classifier(np.zeros(0, np.int64), *nothing, np.log(np.maximum(sizes / max(sizes.sum(), 1) if sizes.sum() else [1, 0, 0], 1e-6)))
+    cells = telling(sample, sizes)
+    blank = Classifier(cells, *nothing, np.zeros(k))
+
+    def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, _, (row, cell, dense) in _features(b.column(1)):
+                told, word = blank.words(row, cell)
+                first = np.searchsorted(told, np.arange(j - i + 1))
+                words = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(word, pa.int32()))
+                values = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * DENSE, pa.int32()), pa.array(dense.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(2)[i:j], words, values], names=["doc_id", "domain", "words", "dense"])
+
+    got = sample.mapInArrow(design, "doc_id long, domain int, words array<int>, dense array<double>").toArrow().sort_by("doc_id")
+    n, domain = got.num_rows, got["domain"].to_numpy()
+    words = got["words"].combine_chunks()
+    word = words.flatten().to_numpy().astype(np.int64)
+    told = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    dense = got["dense"].combine_chunks().flatten().to_numpy().reshape(n, DENSE)
+    model = Classifier(cells, np.zeros((len(cells), k)), dense.mean(axis=0), dense.std(axis=0) + 1e-3, np.zeros((DENSE, k)), np.log(np.maximum(sizes / n, 1e-6)))
     x, want = (dense - model.mean) / model.scale, np.eye(k)[domain]
-    told, word = model.words(row, cell)
     speed = [np.full(w.shape, 1e-8) for w in (model.weights, model.dense, model.bias)]
     for _ in range(rounds):
         wrong = (model.of_words(n, told, word, x) - want) / n
-        words = np.stack([np.bincount(word, wrong[told, d], len(cells)) for d in range(k)], axis=1) if len(cells) else model.weights
-        grads = [words + L2 * model.weights, x.T @ wrong + L2 * model.dense, wrong.sum(axis=0)]
+        up = np.stack([np.bincount(word, wrong[told, d], len(cells)) for d in range(k)], axis=1) if len(cells) else model.weights
+        grads = [up + L2 * model.weights, x.T @ wrong + L2 * model.dense, wrong.sum(axis=0)]
         for weight, grad, s in zip((model.weights, model.dense, model.bias), grads, speed, strict=True):
             s *= 0.98
             s += 0.02 * grad**2
@@ -133,16 +173,6 @@ def train(texts: pa.Array, domain: np.ndarray, rounds: int = 300, rate: float =
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
-    """Texts and domains of at most ``sample`` labelled documents, the first by hash of the id."""
-    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null and quality is not null and toxic is not null").dropDuplicates(["doc_id"])
-    label = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(label), "doc_id").dropDuplicates(["doc_id"])
-    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    got = rows.select("doc_id", "text", domain.alias("domain")).toArrow().sort_by("doc_id")
-    return got["text"].combine_chunks(), got["domain"].to_numpy().astype(np.int64)
-
-
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, tokens (words) and the posterior of each domain, by row of docs."""
 
@@ -154,57 +184,76 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def _rates(p: np.ndarray, steps: list[tuple[np.ndarray, float]], size: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates, and the point at which the next gradient is taken, after the steps taken so far: each is (pull on the domains, momentum)."""
-    r = look = np.ones(len(p))
-    for pull, momentum in steps:
-        new = np.maximum(0, look - size * (p @ pull + MU * (look - 1)))
-        r, look = new, new + momentum * (new - r)
-    return r, look
-
-
-def fit(members: DataFrame, targets=TARGETS) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """The steps of the descent: every document's rate follows from its posteriors and these D numbers a step."""
-    cols = [f"p_{d}" for d in DOMAINS]
-    now = members.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * F.col(c)) for c in cols)).first()
-    size, steps = 1 / (1 + MU), []
-    if not now[0]:
-        return steps, size
-    total, have = float(now[0]), np.array(now[1:], float)
-    share = np.array(targets) / sum(targets)
-    # The domain with the greatest target is asked for a little more than there is, so that its documents are taken once at least.
+def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Rates after steps that sum up to a pull on the domains."""
+    return np.maximum(0, 1 - p @ pull)
+
+
+def wanted(have: np.ndarray, targets) -> np.ndarray:
+    """Tokens to reach in each domain. The one with the greatest target is asked for a little more than there is, so that its documents are
+    taken once at least."""
+    share = np.array(targets, float) / sum(targets)
     most = int(np.argmax(share))
-    budget = HEADROOM * float(have[most] / share[most])
-    want = share * budget / total
-    look, last, t = have / total, None, 1.0
+    return share * HEADROOM * float(have[most] / share[most])
+
+
+def state(n: np.ndarray, p: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """What documents add to the sums after a pull: tokens of each domain, half their rates' squares by tokens, and products of posteriors by
+    tokens over free rates, those above 0."""
+    r = rates(p, pull)
+    return np.concatenate(((r * n) @ p, [(r * r) @ n / 2], ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)))
+
+
+def descend(totals, targets=TARGETS) -> np.ndarray:
+    """The sum of the descent's steps; totals(pulls) gives the sums of state for each of several pulls.
+
+    A step weighed by the free rates' products would meet the targets if no more rates ran into 0, but may be too long; one weighed by
+    all rates' products never is. Of these and of shorter ones the best is taken.
+    """
+    k = len(targets)
+    pull = np.zeros(k)
+    now = totals([pull])[0]
+    if not now[:k].sum():
+        return pull
+    whole = now[k + 1 :].reshape(k, k)
+    ridge, want = 1e-9 * np.trace(whole) * np.eye(k), wanted(now[:k], targets)
     for _ in range(STEPS):
-        faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.append((look - want, (t - 1) / faster))
-        t = faster
+        gap = now[:k] - want
+        if (np.abs(gap) <= CLOSE * want).all():
+            break
+        step = np.linalg.solve(now[k + 1 :].reshape(k, k) + ridge, gap)
+        tries = [*(pull + c * step for c in LENGTHS), pull + np.linalg.solve(whole + ridge, gap)]
+        # The gaps are the gradient of this convex sum, which a good step lowers most.
+        now, pull = min(zip(totals(tries), tries, strict=True), key=lambda x: x[0][k] + x[1] @ want)
+    return pull
 
-        def totals(batches: Iterator[pa.RecordBatch], steps=tuple(steps)) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((2, len(DOMAINS)))
+
+def fit(members: DataFrame, targets=TARGETS) -> np.ndarray:
+    """The pull from which every document's rate follows by its posteriors."""
+    k = len(DOMAINS)
+    size = k + 1 + k * k
+
+    def totals(pulls: list[np.ndarray]) -> np.ndarray:
+        names = [f"x{i}" for i in range(size * len(pulls))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((len(pulls), size))
             for b in batches:
-                n, p = b.column(1).to_numpy(), np.stack([b.column(2 + d).to_numpy() for d in range(len(DOMAINS))], axis=1)
-                for k, r in enumerate(_rates(p, list(steps), size)):
-                    out[k] += (r * n) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out.reshape(-1, 1)], names=[f"x{k}" for k in range(out.size)])
-
-        sums = members.mapInArrow(totals, ", ".join(f"x{k} double" for k in range(2 * len(DOMAINS)))).agg(*(F.sum(f"x{k}") for k in range(2 * len(DOMAINS)))).first()
-        rates, look = np.array(sums, float).reshape(2, -1) / total
-        if last is not None and np.abs(rates - last).max() < CLOSE:
-            break
-        if last is not None and np.abs(rates - want).sum() > np.abs(last - want).sum():
-            t = 1.0  # the momentum overshot
-        last = rates
-    return steps, size
+                n, p = b.column(1).to_numpy().astype(float), np.stack([b.column(2 + d).to_numpy() for d in range(k)], axis=1)
+                out += [state(n, p, x) for x in pulls]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out.reshape(-1)], names=names)
+
+        got = members.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x) for x in names)).first()
+        return np.array([x or 0 for x in got], float).reshape(len(pulls), size)
+
+    return descend(totals, targets)
 
 
-def with_rates(members: DataFrame, steps: list[tuple[np.ndarray, float]], size: float) -> DataFrame:
+def with_rates(members: DataFrame, pull: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.stack([b.column(2 + d).to_numpy() for d in range(len(DOMAINS))], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_rates(p, steps, size)[0])], names=[*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(p, pull))], names=[*b.schema.names, "rate"])
 
     return members.mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
 
@@ -212,5 +261,5 @@ def with_rates(members: DataFrame, steps: list[tuple[np.ndarray, float]], size:
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tokens, posteriors and rate, by row of docs."""
     docs = pick(docs, doc_id, text)
-    members = cut(memberships(docs, train(*labelled(docs, labels))))
-    return with_rates(members, *fit(members, targets))
+    members = cut(memberships(docs, train(cut(labelled(docs, labels)))))
+    return with_rates(members, fit(members, targets))

@@ -97,14 +97,41 @@ def test_mixing_meets_targets(mixed):
     test = (rows.doc_id % 4 == 3).to_numpy()
     true = np.where(rows.toxic == 1, 2, np.where(rows.quality == 0, 1, 0))
     assert (p.argmax(axis=1) == true)[test].mean() > 0.95 and np.allclose(p.sum(axis=1), 1) and (r >= 0).all()
-    got = (r * n) @ p
-    assert np.abs(got / got.sum() - np.array(mixing.TARGETS)).max() < 0.02
+    got, want = (r * n) @ p, mixing.wanted(n @ p, mixing.TARGETS)
+    assert np.abs(got / want - 1).max() < 1e-3 and np.abs(got / got.sum() / mixing.TARGETS - 1).max() < 1e-3
+
+
+@pytest.mark.parametrize("seed,shares,sharp", [(1, (0.8, 0.1, 0.1), 6), (2, (0.95, 0.03, 0.02), 8), (3, (0.5, 0.3, 0.2), 2), (4, (0.99, 0.006, 0.004), 8), (5, (0.999, 0.0005, 0.0005), 4)])
+def test_descent_against_plain_projected_gradient(seed, shares, sharp):
+    """Both meet the targets, from the same start; the plain one, without weights of the domains, needs thousands of steps."""
+    rng = np.random.default_rng(seed)
+    n, kind = rng.integers(1, 2000, 3000).astype(float), rng.choice(3, 3000, p=shares)
+    score = rng.normal(size=(3000, 3)) + sharp * np.eye(3)[kind]
+    p = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+
+    passes = []
+
+    def totals(pulls):
+        passes.append(len(pulls))
+        return np.array([mixing.state(n, p, x) for x in pulls])
+
+    r, want = mixing.rates(p, mixing.descend(totals)), mixing.wanted(n @ p, mixing.TARGETS)
+    assert (r >= 0).all() and np.abs((r * n) @ p / want - 1).max() <= mixing.CLOSE and len(passes) <= 30
+    plain = np.ones(3000)
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ (((plain * n) @ p - want) / n.sum()))
+    gap = lambda r: np.abs((r * n) @ p - want).sum() / want.sum()
+    assert gap(r) <= gap(plain) + mixing.CLOSE and gap(plain) < 0.2
+    if gap(plain) < 1e-6:  # no other rates that meet the targets change less
+        assert (r - 1) ** 2 @ n <= (plain - 1) ** 2 @ n * (1 + 1e-3)
 
 
 def test_mixing_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, 0), (None, 1, 1), (5, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(odd, labels).collect()
     assert len(rows) == odd.count() and all(r.rate >= 0 for r in rows) and all(r.tokens == 0 for r in rows if r.doc_id in (3, 4, 6))
+    once = mixing.labelled(odd.where("doc_id is not null").withColumn("text", F.concat("text", F.col("n_chars").cast("string"))).union(odd.where("doc_id = 1")), labels.unionByName(spark.createDataFrame([(7, 1, 0), (2, 1, 1), (2, 0, 0)], labels.schema)))
+    assert {(r.doc_id, r.domain) for r in once.collect()} == {(1, 0), (7, 1), (2, 2)}
     assert mixing.mixing_rates(none, labels).count() == 0 and mixing.mixing_rates(odd, labels.limit(0)).count() == odd.count()
 
 
