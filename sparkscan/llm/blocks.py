@@ -7,6 +7,9 @@ entry, and the block reads its answers beside its own texts.  Entries travel as
 never texts or rows; since a block sends an item once, an item that a third of all
 documents hold costs a slice at most one entry for each block.
 
+Messages number blocks times slices, so both grow with the square root of the input, up to GROWTH times: 8 times
+the memory at 64 GB, and from there on pieces of one size, only more of them.
+
 The dealt blocks are used by several steps of one plan; Spark shuffles the texts once and
 reuses that exchange.
 """
@@ -20,27 +23,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pick, pieces_for
+from .tables import by_number, input_bytes, pick, pieces_for
 
-BLOCK_BYTES = 4 << 20  # of input for each block
+BLOCK_BYTES = 4 << 20  # of input for each block, up to GROW_FROM of input
 SLICE_BYTES = 6 << 20  # of input for each slice
+GROW_FROM, GROWTH = 1 << 30, 8
 MESSAGE = "block long, slice long, data binary"
 
 
 def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more) -> DataFrame:
     """docs with the block of each row; rows with one id share a block, rows without id are spread by text."""
-    n = pieces_for(docs, BLOCK_BYTES)
-    return block_of(pick(docs, doc_id, text, *more), docs).repartition(n, "block")
+    return by_number(block_of(pick(docs, doc_id, text, *more), docs), blocks_for(docs), "block")
 
 
 def block_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with doc_id and text, and their blocks in deal(docs)."""
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return rows.withColumn("block", F.pmod(key, F.lit(pieces_for(docs, BLOCK_BYTES))))
+    return rows.withColumn("block", F.pmod(key, F.lit(blocks_for(docs))))
+
+
+def _growth(docs: DataFrame) -> float:
+    return min(GROWTH, max(1.0, (input_bytes(docs) / GROW_FROM) ** 0.5))
+
+
+def blocks_for(docs: DataFrame) -> int:
+    return pieces_for(docs, int(BLOCK_BYTES * _growth(docs)))
 
 
 def slices_for(docs: DataFrame) -> int:
-    return pieces_for(docs, SLICE_BYTES)
+    return pieces_for(docs, int(SLICE_BYTES * _growth(docs)))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -80,6 +91,13 @@ def parts(table: pa.Table, *types) -> Iterator[tuple[int, int, list[np.ndarray]]
         yield block, at, unpack(data.as_buffer(), *types)
 
 
+def within(table: pa.Table, low: int, high: int) -> pa.Table:
+    """Messages of slices low .. high, numbered from 0."""
+    at = table["slice"].to_numpy()
+    keep = (at >= low) & (at < high)
+    return table.filter(pa.array(keep)).set_column(table.schema.get_field_index("slice"), "slice", pa.array(at[keep] - low, pa.int64()))
+
+
 def bits(table: pa.Table, at: np.ndarray, n: int, kinds: int = 1):
     """Answers of one or more kinds, put back at the block's entries; no answer is all zeros."""
     cut = np.searchsorted(at, np.arange(n + 1))
@@ -90,9 +108,14 @@ def bits(table: pa.Table, at: np.ndarray, n: int, kinds: int = 1):
     return out[0] if kinds == 1 else out
 
 
-def ask(blocked: DataFrame, emit: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Answers to what emit makes of each block."""
-    return blocked.groupBy("block").applyInArrow(emit, MESSAGE).groupBy("slice").applyInArrow(answer, MESSAGE)
+def ask(blocked: DataFrame, emit: Callable[[pa.Table], pa.Table], answer: Callable[[pa.Table], pa.Table], n: int) -> DataFrame:
+    """Answers of n slices to what emit makes of each block."""
+    return answered(blocked.groupBy("block").applyInArrow(emit, MESSAGE), answer, n)
+
+
+def answered(asked: DataFrame, answer: Callable[[pa.Table], pa.Table], n: int) -> DataFrame:
+    """Answers of n slices to messages."""
+    return by_number(asked, n, "slice").groupBy("slice").applyInArrow(answer, MESSAGE)
 
 
 def with_answers(blocked: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -100,4 +100,4 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
         return pa.table(out | {c: table[c] for c in more})
 
     schema = "doc_id long, n_lines long, n_dropped long, keep binary" + ", text string" * texts + ", kept_sha256 string" * digest + "".join(f", `{c}` {kinds[c]}" for c in more)
-    return B.with_answers(blocked, B.ask(blocked, emit, B.first_elsewhere), keep, schema)
+    return B.with_answers(blocked, B.ask(blocked, emit, B.first_elsewhere, n), keep, schema)

@@ -29,10 +29,11 @@ from . import arrays as A
 from . import blocks as B
 from . import shingles as S
 from .components import components
-from .substrings import cell_slice, counted, counted_messages, sketch_bits
-from .tables import batch, cut, pick, pieces_for
+from .sketches import Sketch, merge
+from .tables import batch, by_number, cut, pick
 
 CELLS = 1 << 16  # of the cost sketch
+COUNTERS = 32  # of the sketch of shingles, for each word
 FEW = 6  # sets that hold a rare shingle, at most
 TILE = 4096  # sets of a cluster that one task compares with as many others
 CANDIDATES = "doc_id long, n int, keys binary"
@@ -67,7 +68,7 @@ def _unpack_sets(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def candidates(docs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
     """Class holders of whose shingles enough are estimated to be in other sets, with their sets."""
     blocked, n = B.deal(docs), B.slices_for(docs)
-    bits = sketch_bits(docs, n)
+    counter = Sketch.sized(docs, 1, COUNTERS, n)
     holders = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     dealt = B.block_of(holders.withColumn("text", F.lit(None).cast("string")), docs).select("block", F.lit(-1).cast("long").alias("slice"), "doc_id", "k1")
 
@@ -95,22 +96,21 @@ def candidates(docs: DataFrame, base: DataFrame, words: int, percent: int) -> Da
     def sketch(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return B.reply([])
-        cells, count = np.unique(mine(table, answers)[1] >> np.uint64(64 - bits), return_counts=True)
-        return counted_messages(cells, count, n, bits, table["block"][0].as_py())
+        key = mine(table, answers)[1]
+        return counter.messages(key, key, np.ones(len(key), np.int64), table["block"][0].as_py())
 
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, key, first = mine(table, answers)
-        cells, back, count = np.unique(key >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
-        replies = answers.filter(pc.greater_equal(answers["slice"], 0))
-        elsewhere, frequent = B.bits(replies, cell_slice(cells, n, bits), n, 2)
-        shared = (elsewhere | (count > 1))[back]  # a set has a shingle once, so twice is in two sets
-        key = S.marked(key, frequent[back], ~shared)
+        _, back, count = np.unique(counter.cells(key, key, 0), return_inverse=True, return_counts=True)
+        elsewhere, frequent = counter.elsewhere(key, key, answers, 2)
+        shared = elsewhere | (count > 1)[back]  # a set has a shingle once, so twice is in two sets
+        key = S.marked(key, frequent, ~shared)
         total = np.concatenate(([0], np.cumsum(shared)))
         size = np.diff(first)
         take = np.flatnonzero(100 * (total[first[1:]] - total[first[:-1]]) >= percent * size)
         return pa.table([pa.array(ids[take]), pa.array(size[take].astype(np.int32)), pa.array([np.sort(key[first[k] : first[k + 1]]).tobytes() for k in take], pa.binary())], schema=_CAND)
 
-    estimates = B.with_answers(blocked, lists, sketch, B.MESSAGE).groupBy("slice").applyInArrow(counted(FEW), B.MESSAGE)
+    estimates = B.answered(B.with_answers(blocked, lists, sketch, B.MESSAGE), merge(FEW), n)
     return B.with_answers(blocked, lists.unionByName(estimates), choose, CANDIDATES)
 
 

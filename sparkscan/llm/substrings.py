@@ -1,13 +1,10 @@
 """Substring deduplication: windows of words that start in an earlier document.
 
-First pass: each block sends the fingerprints of its distinct windows, as a sorted sparse
-sketch of one row of 2**bits counters; slices merge the blocks' sketches and answer which counters
-several blocks hit.  Two windows may share a counter, so the estimate is never too low.
-Second pass: only windows estimated to be in several blocks go out, with 128-bit hashes and their
-smallest document, and are grouped exactly.  Windows inside one block are compared there.
-
-The sketch has no fixed size: it is sparse, cut into slices by counter, and its
-width follows the input, so neither pass gathers more in one place as the input grows.
+First pass: every block counts its windows (documents that hold each) in a count-min sketch of DEPTH rows of counters, COUNTERS or more a
+row for each word of the input. The blocks' sketches are merged by adding them, so a window's least counter never falls below
+the number of documents that hold it.
+Second pass: only windows whose estimate, less what the block itself added, leaves a document in another block go out, with 128-bit hashes and their
+smallest document, and are grouped exactly; none is lost. Windows inside one block are compared there.
 
 Defined results: a null or short text has no windows and keeps its words; a row with a null
 id keeps all words and takes none from others; rows with one id don't take from each other; an
@@ -20,15 +17,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import blocks as B
-from .tables import input_bytes
+from .sketches import Sketch, merge
 
 WIDTH = 13  # words of a window
+DEPTH = 2  # rows of the sketch
+COUNTERS = 8  # a row for each word, at least
 
 
 def _windows(table: pa.Table, width: int):
@@ -49,106 +47,40 @@ def _windows(table: pa.Table, width: int):
     return h, g, doc, at, np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
 
 
-def estimated_repeated(table: pa.Table) -> pa.Table:
-    """Answers sketches: which counters did several blocks hit?"""
-    got = []
-    for b, s, (first, steps) in B.parts(table, np.uint64, np.uint32):
-        got.append((b, s, np.cumsum(steps.astype(np.uint64)) + first[0]))
-    if not got:
-        return B.reply([])
-    cells = np.concatenate([x[2] for x in got])
-    order = np.argsort(cells)
-    same = cells[order][1:] == cells[order][:-1]
-    several = np.zeros(len(cells), bool)
-    several[order[1:][same]] = True
-    several[order[:-1][same]] = True
-    ends = np.cumsum([0, *(len(x[2]) for x in got)])
-    return B.reply([(x[0], x[1], several[a:b]) for x, a, b in zip(got, ends, ends[1:], strict=False)])
-
-
-def counted_messages(cells: np.ndarray, count: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
-    """A sketch with how often the block hits each counter, up to 255."""
-    at = cell_slice(cells, n, bits)
-    cut = np.searchsorted(at, np.arange(n + 1))
-    some = np.flatnonzero(np.diff(cut))
-    data = []
-    for s in some:
-        own = cells[cut[s] : cut[s + 1]]
-        data.append(B.pack(own[:1], np.diff(own, prepend=own[:1]).astype(np.uint32), np.minimum(count[cut[s] : cut[s + 1]], 255).astype(np.uint8)))
-    return pa.table({"block": pa.array(np.full(len(some), block), pa.int64()), "slice": pa.array(some, pa.int64()), "data": pa.array(data, pa.binary())})
-
-
-def counted(few: int):
-    """Answers counted sketches: which counters does another block hit too, and which are hit more than ``few`` times in all?"""
-
-    def answer(table: pa.Table) -> pa.Table:
-        got = [(b, s, np.cumsum(steps.astype(np.uint64)) + first[0], count) for b, s, (first, steps, count) in B.parts(table, np.uint64, np.uint32, np.uint8)]
-        out = []
-        if got:
-            _, back = np.unique(np.concatenate([x[2] for x in got]), return_inverse=True)
-            own = np.concatenate([x[3] for x in got]).astype(np.int64)
-            total = np.bincount(back, own)[back]
-            ends = np.cumsum([0, *(len(x[2]) for x in got)])
-            for x, a, b in zip(got, ends, ends[1:], strict=False):
-                out.append((x[0], x[1], B.pack(np.packbits(total[a:b] > own[a:b]), np.packbits(total[a:b] > few))))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "slice": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
-
-    return answer
-
-
-def sketch_messages(cells: np.ndarray, n: int, bits: int, block: int) -> pa.Table:
-    at = cell_slice(cells, n, bits)
-    cut = np.searchsorted(at, np.arange(n + 1))
-    some = np.flatnonzero(np.diff(cut))
-    data = []
-    for s in some:
-        own = cells[cut[s] : cut[s + 1]]
-        data.append(B.pack(own[:1], np.diff(own, prepend=own[:1]).astype(np.uint32)))
-    return pa.table({"block": pa.array(np.full(len(some), block), pa.int64()), "slice": pa.array(some, pa.int64()), "data": pa.array(data, pa.binary())})
-
-
-def sketch_bits(docs: DataFrame, n: int) -> int:
-    """Width of the sketch: about 32 counters for each word, of which input bytes are 3 to 8."""
-    return min(max(24, (32 * input_bytes(docs) // 4).bit_length()), 31 + n.bit_length() - 1, 60)  # a step between counters of a slice stays under 2**32
-
-
-def cell_slice(cells: np.ndarray, n: int, bits: int) -> np.ndarray:
-    return B.slice_of(cells << np.uint64(64 - bits), n)
-
-
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (texts adds ``text``), by row of docs."""
-    blocked, n = B.deal(docs, doc_id, text), B.slices_for(docs)
-    bits = sketch_bits(docs, n)
+def _holders(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each distinct window of a block, and how many documents hold it."""
+    order = np.lexsort((doc, g, h))
+    h, g, doc = h[order], g[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    other = new.copy()
+    other[1:] |= doc[1:] != doc[:-1]
+    first = np.flatnonzero(new)
+    return h[first], g[first], np.add.reduceat(other, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
-    def cells_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(h >> np.uint64(64 - bits), return_inverse=True)
 
-    def sketch(table: pa.Table) -> pa.Table:
-        h = _windows(table, width)[0]
-        return sketch_messages(np.unique(h >> np.uint64(64 - bits)), n, bits, table["block"][0].as_py())
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, texts: bool = False, depth: int = DEPTH, counters: int = COUNTERS) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 (texts adds ``text``), by row of docs."""
+    blocked, n = B.deal(docs, doc_id, text), B.slices_for(docs)
+    sketch = Sketch.sized(docs, depth, counters, n)
 
-    def seen_in(h: np.ndarray, answers: pa.Table) -> np.ndarray:
-        """Which windows are estimated to be in another block too?"""
-        cells, which = cells_of(h)
-        return B.bits(answers, cell_slice(cells, n, bits), n)[which]
+    def count(table: pa.Table) -> pa.Table:
+        h, g, doc, _, _ = _windows(table, width)
+        return sketch.messages(*_holders(h, g, doc), table["block"][0].as_py())
 
     def exact(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, g, doc, _, _ = _windows(table, width)
-        seen = np.flatnonzero(seen_in(h, answers))
+        seen = np.flatnonzero(sketch.elsewhere(h, g, answers))
         at, _, first = B.firsts(h[seen], g[seen], doc[seen])
         at = seen[at]
         return B.messages(table["block"][0].as_py(), B.slice_of(h[at], n), n, h[at], g[at], first)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         h, g, doc, place, sizes = _windows(table, width)
-        estimate = pc.less(answers["slice"], n)
         at, entry, first = B.firsts(h, g, doc)
-        sent = seen_in(h[at], answers.filter(estimate))  # a window's entries share its hash, so all or none are sent
+        sent = sketch.elsewhere(h[at], g[at], answers)  # a window's entries share its hashes, so all or none are sent
         later = np.zeros(len(at), bool)
-        exactly = answers.filter(pc.invert(estimate))
-        exactly = exactly.set_column(1, "slice", pc.subtract(exactly["slice"], n))
-        later[sent] = B.bits(exactly, B.slice_of(h[at[sent]], n), n)
+        later[sent] = B.bits(B.within(answers, depth * n, (depth + 1) * n), B.slice_of(h[at[sent]], n), n)
         gone = later[entry] | (doc > first[entry])
         words = np.zeros(int(sizes.sum()) + width, bool)
         start = place[gone]
@@ -168,7 +100,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         out = {"doc_id": table["doc_id"], "n_words": pa.array(sizes), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         return pa.table(out | ({"text": pa.array(kept, pa.binary()).cast(pa.string())} if texts else {}))
 
-    estimates = B.ask(blocked, sketch, estimated_repeated)
-    answers = B.with_answers(blocked, estimates, exact, B.MESSAGE).groupBy("slice").applyInArrow(B.first_elsewhere, B.MESSAGE)
-    both = estimates.unionByName(answers.withColumn("slice", F.col("slice") + n))
+    estimates = B.ask(blocked, count, merge(), depth * n)
+    answers = B.answered(B.with_answers(blocked, estimates, exact, B.MESSAGE), B.first_elsewhere, n)
+    both = estimates.unionByName(answers.withColumn("slice", F.col("slice") + depth * n))
     return B.with_answers(blocked, both, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts)

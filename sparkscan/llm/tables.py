@@ -51,9 +51,17 @@ def input_bytes(df: DataFrame) -> int:
     return df.__dict__["_input_bytes"]
 
 
+PARTITIONS = 1 << 16  # of one shuffle; pieces beyond share partitions and are still taken one by one
+
+
 def pieces_for(df: DataFrame, piece_bytes: int, least: int = 1) -> int:
     """How many pieces of about piece_bytes the input makes."""
-    return max(least, min(1 << 20, -(-input_bytes(df) // piece_bytes)))
+    return max(least, -(-input_bytes(df) // piece_bytes))
+
+
+def by_number(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows dealt by the number of their piece, so that tasks hold about one piece each whatever spark.sql.shuffle.partitions is."""
+    return rows.repartition(max(1, min(PARTITIONS, n)), *keys)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -7,11 +7,13 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from sparkscan.llm import lines, near, packing, shingles, substrings, tokens
 from sparkscan.llm.components import components
+from sparkscan.llm.sketches import Sketch, merge, merged
 
 
 def corpus(seed=1, n=120):
@@ -53,6 +55,37 @@ def test_substrings(docs, small_blocks):
     assert removed > 100
 
 
+@pytest.mark.parametrize("depth,bits", [(1, 9), (2, 9), (3, 12), (2, 24)])
+def test_merged_sketches_never_count_too_low(depth, bits):
+    rng = np.random.default_rng(depth)
+    h, g = (rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) for _ in range(2))
+    sketch, n, asked, true = Sketch(depth, bits, 5), 7, [], np.zeros(3000, int)
+    held = [rng.choice(3000, 600, replace=False) for _ in range(n)]
+    for block, own in enumerate(held):
+        count = 1 + own % 3
+        true[own] += count
+        asked.append(sketch.messages(h[own], g[own], count, block))
+    asked = pa.concat_tables(asked)
+    estimate, over = np.full(3000, 1 << 40), 0
+    for row in range(depth):
+        counters = {}
+        for s in range(5):
+            _, cells, own, total = merged(asked.filter(pc.equal(asked["slice"], s + 5 * row)))
+            counters |= dict(zip(cells.tolist(), total.tolist(), strict=True))
+        cells = sketch.cells(h, g, row).tolist()
+        assert sum(counters[c] for c in set(cells) if c in counters) <= n * 600 * 3
+        estimate = np.minimum(estimate, [counters.get(c, 0) for c in cells])
+    over = int((estimate > true).sum())
+    assert (estimate >= true).all() and (over > 0 or bits == 24)
+    by = [merge(4)(asked.filter(pc.equal(asked["slice"], s))) for s in range(5 * depth)]
+    answers = pa.concat_tables(by)
+    for block, own in enumerate(held):
+        elsewhere, frequent = sketch.elsewhere(h[own], g[own], answers.filter(pc.equal(answers["block"], block)), 2)
+        others = true[own] - (1 + own % 3)
+        assert elsewhere[others > 0].all() and frequent[true[own] > 4].all()
+        assert bits < 24 or (elsewhere == (others > 0)).all()
+
+
 def test_lines(docs, small_blocks):
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     texts = {k * 3: t.split("\n") for k, t in enumerate(corpus())}
