@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from . import arrays as A
 from .tables import batch, pick
 
-# The base phrases with their labels, and short public licence notices.
+# The base phrases with their labels, public licence notices and short licences in full, in words.
 BASE = {
     "gnu general public license": "gpl",
     "apache license": "apache",
@@ -55,13 +55,61 @@ NOTICES = {
     "cc-by-nc": ["licensed under cc by nc 4 0"],
     "cc-by-sa": ["licensed under cc by sa 4 0"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "agpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
 }
+_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability
+whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+{one}redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+{two}redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+{three}this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of
+merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special
+exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused
+and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised
+of the possibility of such damage"""
+_ENDORSE = "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+FULL = {
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _WARRANTY
+    ],
+    "bsd": [_BSD.format(one="1 ", two="2 ", three=""), _BSD.format(one="1 ", two="2 ", three="3 " + _ENDORSE)],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable "
+        "for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+        "arising out of or in connection with the use or performance of this software"
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+        "2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+        "to this software under copyright law " + _WARRANTY
+    ],
+    "boost": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute "
+        "and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following "
+        "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works "
+        "of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"
+    ],
+}
+TEMPLATES = {label: [*NOTICES.get(label, []), *FULL.get(label, [])] for label in dict.fromkeys([*NOTICES, *FULL])}
 MIN_MATCH = 4  # words of a match that takes part in a chain
 MIN_COVER = 0.6  # of a template's words
 MAX_GAP = 8  # words skipped between two links of a chain, in document or template
 
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("share", pa.float64())]))
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", SPANS)])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", SPANS), ("n_spans", pa.int64())])
 WORD = A.table([*range(48, 58), *range(97, 123), *range(128, 256)])
 
 
@@ -190,7 +238,7 @@ class Scanner:
         join = lambda sets: [",".join(sorted(s)) for s in sets]
         for own, more in zip(out[4], out[3], strict=True):
             own |= more
-        return batch(OUT, ids, np.diff(first), out[0], out[1], out[2], join(out[3]), join(out[4]), out[5], out[6])
+        return batch(OUT, ids, np.diff(first), out[0], out[1], out[2], join(out[3]), join(out[4]), out[5], out[6], [len(x) for x in out[6]])
 
     def _run(self, codes: list[int], at: int, d: int, out: list, matches: dict[int, list]) -> None:
         count, firsts, lasts, labels = out[:4]
@@ -267,7 +315,7 @@ def _apart(links: list[tuple[int, int, int]], best: list[int], first: list[int],
     return taken
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, notices: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """Base places, labels, the best covered share of a template and covered spans, by row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,4 +324,4 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
             for i, j, buf, offs in A.slabs(b.column(1)):
                 yield scanner.scan(b.column(0)[i:j], buf, offs)
 
-    return pick(docs, doc_id, text).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,template:int,first_word:long,end_word:long,share:double>>")
+    return pick(docs, doc_id, text).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,template:int,first_word:long,end_word:long,share:double>>, n_spans long")

@@ -1,10 +1,10 @@
 """Personal data: fixed base patterns plus a semi-Markov conditional random field.
 
-The field scores whole candidate segments of up to MAX_ATOMS atoms by features of the
+The field scores whole candidate segments of up to MAX_ATOMS atoms (runs of letters and digits, runs of white space, single signs) by features of the
 span as a whole, and dynamic programming picks boundaries and types together.  Only a
-segment with a digit or an at sign can be an entity, so atoms farther than
+segment with a digit or an at sign can be an entity, and none goes over a line's end, so atoms farther than
 MAX_ATOMS from any of those are outside under every labelling, and the rest falls into
-independent stretches; decoding each gives the whole text's best labelling.
+independent stretches; decoding each gives the whole text's best labelling, however long a stretch or an atom is.
 
 Weights come from maximum likelihood on generated sentences (fixed seed).
 
@@ -30,7 +30,8 @@ from .tables import batch, pick
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_ATOMS = 16
-OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string())])
+BLOCK = 4096  # atoms whose segments are scored at once
+OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64()), ("n_more", pa.int64())])
 
 # The base patterns. Matches start where a run of digits starts in any case, so saying it only saves retries.
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,8 +39,9 @@ _LOCAL = A.table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 _IP = re.compile(rb"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(rb"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
-_DIGIT = re.compile(rb"[0-9]")
-_ATOM = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[ \t\n\x0b\x0c\r]+|[^A-Za-z0-9\x80-\xff \t\n\x0b\x0c\r]")
+_KIND = np.full(256, 2, np.uint8)  # signs, each an atom
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+_KIND[list(A.SPACES)] = 1
 
 
 def luhn(digits: bytes) -> bool:
@@ -85,7 +87,7 @@ _SPAN = {
     "ip6": re.compile(rb"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
     "card": re.compile(rb"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{2,7}"),
     "phone": re.compile(rb"(?:\+|00)?(?:[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,5}"),
-    "hex": re.compile(rb"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}"),
+    "hex": re.compile(rb"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}|(?=[0-9]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,}"),
 }
 FEATURES = ("bias", *_SPAN, "plus", "luhn", "digits 10-15", "digits 14-19", "digits under 7", "at sign", "glued left", "glued right", "goes on", "16 digits", "edge is space or punctuation", "long")
 
@@ -100,45 +102,45 @@ def _features(text: bytes, s: int, e: int, n: int) -> np.ndarray:
     ], float)
 
 
-def _stretches(text: bytes, member: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Byte ranges around triggers, of MAX_ATOMS words on either side, merged where they touch."""
-    reach = 64
-    last = None
-    for t in np.flatnonzero(member).tolist():
-        if last and t - reach <= last[1]:
-            last = (last[0], t + reach)
-        else:
-            if last:
-                yield last
-            last = (t - reach, t + reach)
-    if last:
-        yield last
-
-
-def _segments(text: bytes, atoms: list[tuple[int, int]], live: list[bool]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Candidate (first atom, atom past the last) that hold a trigger, and their features."""
-    seen = [0]
-    for x in live:
-        seen.append(seen[-1] + x)
-    blank = [text[s : s + 1].isspace() for s, _ in atoms]
-    cut = [k for k, (s, e) in enumerate(atoms) if b"\n" in text[s:e]]
-    out = []
-    for i in range(len(atoms)):
+def _atoms(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of the atoms of a text, and which are live (have a digit or an at sign), blank or end a line."""
+    buf = np.frombuffer(text, np.uint8)
+    kind = _KIND[buf]
+    new = np.ones(len(buf), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    first = np.flatnonzero(new)
+    some = lambda member: np.logical_or.reduceat(member, first) if len(first) else np.zeros(0, bool)
+    return np.append(first, len(buf)), some((buf - np.uint8(48) < 10) | (buf == 64)), kind[first] == 1, some(buf == 10)
+
+
+def _stretches(live: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of atoms that segments may lie in."""
+    n, at = len(live), np.flatnonzero(live)
+    near = np.zeros(n + 1, np.int64)
+    np.add.at(near, np.maximum(at - MAX_ATOMS + 1, 0), 1)
+    np.add.at(near, np.minimum(at + MAX_ATOMS, n), -1)
+    inside = np.concatenate(([False], (np.cumsum(near[:n]) > 0) & ~ends, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def _segments(text: bytes, edges: list[int], live: list[bool], blank: list[bool], ends: list[bool], a: int = 0, b: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate (first atom, atom past the last) that begin in atoms a .. b and hold a live atom, and their features."""
+    out, n = [], len(live)
+    for i in range(a, n if b is None else b):
         if blank[i]:
             continue
-        stop = next((c for c in cut if c >= i), len(atoms))
-        for j in range(i + 1, min(i + MAX_ATOMS, stop, len(atoms)) + 1):
-            if seen[j] > seen[i] and not blank[j - 1]:
-                out.append((i, j))
-    rows = [_features(text, atoms[i][0], atoms[j - 1][1], j - i) for i, j in out]
+        seen = False
+        for j in range(i, min(i + MAX_ATOMS, n)):
+            if ends[j]:
+                break
+            seen = seen or live[j]
+            if seen and not blank[j]:
+                out.append((i, j + 1))
+    rows = [_features(text, edges[i], edges[j], j - i) for i, j in out]
     return out, np.array(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
-def _atoms(text: bytes) -> tuple[list[tuple[int, int]], list[bool]]:
-    atoms = [m.span() for m in _ATOM.finditer(text)]
-    return atoms, [text[s] == 64 or _DIGIT.search(text, s, e) is not None for s, e in atoms]
-
-
 def _sentences(rng: random.Random, n: int) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
     """Generated sentences with their entities, and look-alikes that are none."""
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
@@ -155,7 +157,7 @@ def _sentences(rng: random.Random, n: int) -> Iterator[tuple[bytes, list[tuple[i
         1: lambda: rng.choice([".".join(str(rng.randint(0, 255)) for _ in range(4)), ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8))]),
         2: card,
         3: lambda: rng.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}"]),
-        4: lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64]))),
+        4: lambda: rng.choice([str, str.upper])("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40, 64])))),
     }
     other = [lambda: num(rng.randint(1, 13)), lambda: f"{num(1)}.{num(1)}", lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: word() + num(2), lambda: f"{num(16)}9", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: num(3) + " " + num(3), lambda: f"{word()}@ {num(2)}"]
     for _ in range(n):
@@ -175,10 +177,10 @@ def weights(sentences: int = 120, rounds: int = 30, seed: int = 7) -> np.ndarray
     """Features by type, by gradient ascent on the regularised likelihood (exact forward-backward sums)."""
     data = []
     for text, gold in _sentences(random.Random(seed), sentences):
-        atoms, live = _atoms(text)
-        segments, rows = _segments(text, atoms, live)
-        at = {(atoms[i][0], atoms[j - 1][1]): k for k, (i, j) in enumerate(segments)}
-        data.append((len(atoms), segments, rows, [(at[s, e], k) for s, e, k in gold if (s, e) in at]))
+        edges, *marks = (x.tolist() for x in _atoms(text))
+        segments, rows = _segments(text, edges, *marks)
+        at = {(edges[i], edges[j]): k for k, (i, j) in enumerate(segments)}
+        data.append((len(edges) - 1, segments, rows, [(at[s, e], k) for s, e, k in gold if (s, e) in at]))
     w, speed = np.zeros((len(FEATURES), len(KINDS))), np.zeros((len(FEATURES), len(KINDS)))
     for _ in range(rounds):
         grad = -0.002 * w * len(data)
@@ -208,46 +210,48 @@ def _marginals(n: int, segments: list[tuple[int, int]], score: np.ndarray) -> np
     return np.exp(fore[ij[:, 0], None] + score + back[ij[:, 1], None] - fore[n])
 
 
-def decode(text: bytes, w: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the best labelling of a stretch."""
-    atoms, live = _atoms(text)
-    if not any(live):
-        return []
-    segments, rows = _segments(text, atoms, live)
-    score = rows @ w
-    kind, into = score.argmax(axis=1), [[] for _ in range(len(atoms) + 1)]
-    for k, (_, j) in enumerate(segments):
-        if score[k, kind[k]] > 0:  # else leaving it outside is no worse
-            into[j].append(k)
-    best, back = [0.0], [-1]
-    for j in range(1, len(atoms) + 1):
-        top, by = best[j - 1], -1
-        for k in into[j]:
-            v = best[segments[k][0]] + score[k, kind[k]]
-            if v > top:
-                top, by = v, k
-        best.append(top)
-        back.append(by)
-    out, j = [], len(atoms)
+def _best(text: bytes, edges: list[int], live: list[bool], blank: list[bool], ends: list[bool], w: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best labelling of a run of atoms. Segments are scored in blocks; the best labelling up to an atom goes on from one to the next."""
+    n = len(live)
+    into: dict[int, list[tuple[float, int, int]]] = {}
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    for a in range(0, n, BLOCK):
+        b = min(n, a + BLOCK)
+        segments, rows = _segments(text, edges, live, blank, ends, a, b)
+        score = rows @ w
+        kind = score.argmax(axis=1)
+        top = score.max(axis=1) if len(segments) else np.zeros(0)
+        for k in np.flatnonzero(top > 0).tolist():  # else leaving it outside is no worse
+            i, j = segments[k]
+            into.setdefault(j, []).append((float(top[k]), i, int(kind[k])))
+        for j in range(a + 1, b + 1):  # all segments that end here begin before b
+            most, by = best[j - 1], None
+            for v, i, c in into.pop(j, ()):
+                if best[i] + v > most:
+                    most, by = best[i] + v, (i, c)
+            best[j], back[j] = most, by
+    out, j = [], n
     while j:
-        if back[j] < 0:
+        if back[j] is None:
             j -= 1
         else:
-            i = segments[back[j]][0]
-            out.append((atoms[i][0], int(kind[back[j]]), atoms[j - 1][1]))
+            i, c = back[j]
+            out.append((edges[i], c, edges[j]))
             j = i
     return out[::-1]
 
 
+def decode(text: bytes, w: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best labelling of a whole text."""
+    return _best(text, *(x.tolist() for x in _atoms(text)), w)
+
+
 def method_spans(text: bytes, w: np.ndarray) -> list[tuple[int, int, int]]:
-    """Entities around the digits and at signs of a text."""
-    buf = np.frombuffer(text, np.uint8)
+    """The same, by stretches."""
+    edges, live, blank, ends = _atoms(text)
     out = []
-    for s, e in _stretches(text, (buf - np.uint8(48) < 10) | (buf == 64)):
-        s, e = max(0, s), min(len(text), e)
-        for lo in range(s, e, 4096):  # a stretch of digits alone may be as long as the text: blocks overlap by more than any entity
-            a, b = max(s, lo - 256), min(e, lo + 4096 + 256)
-            out += [(x + a, k, y + a) for x, k, y in decode(text[a:b], w) if lo <= x + a < lo + 4096 and (a == s or x) and (b == e or y + a < b)]
+    for a, b in _stretches(live, ends):
+        out += _best(text, edges[a : b + 1].tolist(), live[a:b].tolist(), blank[a:b].tolist(), ends[a:b].tolist(), w)
     return out
 
 
@@ -275,11 +279,11 @@ def _points(text: bytes, spans: list[tuple[int, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and spans by row of docs."""
+    """Counts of base spans, all spans, their number and that of the method's own, by row of docs."""
     w = weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = ([0] * 4, sha256(b"").hexdigest(), "")
+        nothing = ([0] * 4, sha256(b"").hexdigest(), "", 0, 0)
         for b in batches:
             for i, j, buf, offs in A.slabs(b.column(1)):
                 hot = A.sums(((buf - np.uint8(48) < 10) | (buf == 64)).astype(np.int64), offs)
@@ -290,7 +294,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                     n = [0] * 4
                     for _, k, _ in base:
                         n[k] += 1
-                    rows[d] = (n, sha256(_points(raw, base).encode()).hexdigest(), _points(raw, spans))
-                yield batch(OUT, b.column(0)[i:j], *([r[0][k] for r in rows] for k in range(4)), [r[1] for r in rows], [r[2] for r in rows])
+                    rows[d] = (n, sha256(_points(raw, base).encode()).hexdigest(), _points(raw, spans), len(spans), len(spans) - len(base))
+                yield batch(OUT, b.column(0)[i:j], *([r[0][k] for r in rows] for k in range(4)), *([r[k] for r in rows] for k in range(1, 5)))
 
-    return pick(docs, doc_id, text).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return pick(docs, doc_id, text).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_more long")

@@ -124,6 +124,42 @@ def test_licence_spans():
     assert licences._covers([tuple(x) for x in inner])[0][-1] == 8
 
 
+def test_chains_against_all_earlier_links():
+    rng = random.Random(9)
+    for _ in range(300):
+        links = sorted({(rng.randrange(60), rng.randrange(40), rng.randrange(4, 9)) for _ in range(rng.randint(1, 90))})
+        reach = 0
+        links = [x for x in links if (reach := max(reach, x[0] + x[2])) == x[0] + x[2]]  # maximal matches end in order
+        best = []
+        for s, t, n in links:
+            best.append(n + max((b for (s0, t0, n0), b in zip(links, best, strict=False) if 0 <= s - s0 - n0 <= licences.MAX_GAP and 0 <= t - t0 - n0 <= licences.MAX_GAP), default=0))
+        assert licences._covers(links)[0] == best
+    words = " ".join(f"p{k}" for k in range(4))
+    for k in (2, 31, 32, 80):  # a template that repeats a passage
+        scanner = licences.Scanner({}, {"x": [" z ".join([words] * k)]})
+        out = scanner.scan(pa.array([1]), *next(A.slabs(pa.array([f"{words} q {words}"])))[2:]).to_pylist()
+        assert out[0]["score"] == pytest.approx(8 / (5 * k - 1))
+
+
+def test_full_licences_are_told_apart(spark):
+    rng, rows, want = random.Random(3), [], {}
+    filler = lambda n: " ".join(rng.choice(["the", "of", "and", "river", "stone"]) for _ in range(n))
+    for label, texts_ in licences.FULL.items():
+        for t in texts_:
+            words = t.split()
+            for k in range(10, len(words), 40):
+                words[k] = "changed"
+            rows.append((len(rows), f"{filler(30)}. {' '.join(words)}, {filler(20)}"))
+            want[rows[-1][0]] = label
+    rows.append((len(rows), filler(400)))
+    got = by_id(licences.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[len(rows) - 1].labels == "" and got[len(rows) - 1].n_spans == 0
+    for k, label in want.items():
+        assert label in got[k].labels.split(",") and got[k].score > 0.9
+        best = max(got[k].spans, key=lambda x: x.end_word - x.first_word)
+        assert best.label == label and abs(best.first_word - 30) <= 5
+
+
 PATTERNS = [(0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), (2, r"[0-9]([\x20-]?[0-9])+"), (3, r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -140,6 +176,7 @@ def test_personal_data(docs):
         joined = ",".join(f"{pii.KINDS[x]}:{s}:{e}" for s, x, e in want)
         r = got[k]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x == i for _, x, _ in want) for i in range(4)]
+        assert r.n_spans == len(r.spans.split(",")) * bool(r.spans) and r.n_more == r.n_spans - len(want)
         assert r.base_sha256 == sha256(joined.encode()).hexdigest() and set(joined.split(",")) <= set(r.spans.split(",") + [""])
 
 
@@ -161,10 +198,24 @@ def test_segments_are_found_on_held_out_sentences():
     assert (long.index(b"555"), 3, len(long)) in pii.method_spans(long, w)
 
 
+def test_stretches_are_the_whole_text_s_labelling(monkeypatch):
+    rng, w = random.Random(5), pii.weights()
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([2, 5, 70, 300])))
+    long = lambda: rng.choice([word() + "7", "9" * rng.randint(1, 90), "b" * 70 + "7", word() + "@" + word(), "+1 (234) 567-8901", "1.2.3.4", "\n", "--", "  \n ", "é" * 40 + "5", f"{rng.randrange(256):x}" * 20])
+    for k in range(300):
+        text = " ".join(rng.choice([word, word, long])() for _ in range(rng.randint(1, 60))).encode()
+        monkeypatch.setattr(pii, "BLOCK", 4096)
+        whole = pii.decode(text, w)
+        if k % 2:
+            monkeypatch.setattr(pii, "BLOCK", 17)
+        assert pii.method_spans(text, w) == whole, text
+
+
 def test_decoding_is_best_by_brute_force():
     w, text = pii.weights(), b"a 12 b@c.de 3"
-    atoms, live = pii._atoms(text)
-    segments, rows = pii._segments(text, atoms, live)
+    edges, *marks = (x.tolist() for x in pii._atoms(text))
+    segments, rows = pii._segments(text, edges, *marks)
+    atoms = list(zip(edges, edges[1:], strict=False))
     score = dict(zip(segments, (rows @ w).max(axis=1), strict=True))
 
     def best(i):
