@@ -32,14 +32,13 @@ MESSAGE = "block long, slice long, data binary"
 
 
 def deal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *more) -> DataFrame:
-    """docs with the block of each row; rows with one id share a block, rows without id are spread by text."""
+    """docs with the block of each row, by id and text: rows of one id need not meet, as all comparisons are by id."""
     return by_number(block_of(pick(docs, doc_id, text, *more), docs), blocks_for(docs), "block")
 
 
 def block_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with doc_id and text, and their blocks in deal(docs)."""
-    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return rows.withColumn("block", F.pmod(key, F.lit(blocks_for(docs))))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks_for(docs))))
 
 
 def _growth(docs: DataFrame) -> float:

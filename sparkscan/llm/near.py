@@ -37,7 +37,7 @@ COUNTERS = 32  # of the sketch of shingles, for each word
 FEW = 6  # sets that hold a rare shingle, at most
 TILE = 4096  # sets of a cluster that one task compares with as many others
 CANDIDATES = "doc_id long, n int, keys binary"
-_BASE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+_BASE = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
 _CAND = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("keys", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -48,15 +48,15 @@ def _rows(b: pa.RecordBatch, most: int = 2000) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(docs: DataFrame, words: int = S.WORDS) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set, by row of docs."""
+    """block, doc_id, n_shingles and a 128-bit digest of the set, by row of docs with their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _rows(b):
                 key, first = S.sets(part.column(1), words)
-                yield batch(_BASE, part.column(0), np.diff(first), *S.digests(key, first))
+                yield batch(_BASE, part.column(2), part.column(0), np.diff(first), *S.digests(key, first))
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.select("doc_id", "text", "block").mapInArrow(run, "block long, doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def _unpack_sets(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +69,8 @@ def candidates(docs: DataFrame, base: DataFrame, words: int, percent: int) -> Da
     """Class holders of whose shingles enough are estimated to be in other sets, with their sets."""
     blocked, n = B.deal(docs), B.slices_for(docs)
     counter = Sketch.sized(docs, 1, COUNTERS, n)
-    holders = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    dealt = B.block_of(holders.withColumn("text", F.lit(None).cast("string")), docs).select("block", F.lit(-1).cast("long").alias("slice"), "doc_id", "k1")
+    holders = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "block")).alias("least"))
+    dealt = holders.select("least.block", F.lit(-1).cast("long").alias("slice"), "least.doc_id", "k1")
 
     def listed(table: pa.Table) -> pa.Table:
         return pa.table({"block": table["block"].slice(0, 1), "slice": table["slice"].slice(0, 1), "data": pa.array([B.pack(table["doc_id"].to_numpy(), table["k1"].to_numpy())], pa.binary())})
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if percent < 75:
         raise ValueError("the segments' numbers hold for 75 percent and more")
     docs = pick(docs, doc_id, text)
-    base = cut(sets_of(docs, words))
+    base = cut(sets_of(B.block_of(docs, docs), words))
     n = B.slices_for(docs)
     cand = cut(candidates(docs, base, words, percent))
     found = components(ties(cand, n, percent, costs(cand))).withColumnRenamed("component", "cluster")

@@ -6,7 +6,8 @@ A record is one document::
 
 and the payload is ``i64 document id | u8 has an id | u8 bytes per token | token ids``, all
 little-endian.  The line feed lets Spark's own text writer put records into files on any store
-it can reach.  Files hold documents in ascending id order and their names follow that order.
+it can reach.  Files hold documents in ascending id order; the number of the part and of the file in it, both in the name, follow that order.
+A file has RECORDS records at most. Where one id holds more rows than a file should, its rows are dealt by the first characters of their texts.
 
 Defined results: a null text is empty and has the end id alone; a null id comes first and
 stays null; rows with the same id are ordered by text; an empty table writes no file; only
@@ -15,6 +16,7 @@ the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .tables import batch, pick, pieces_for, shared_dir
+from .tables import PARTITIONS, batch, pick, pieces_for, shared_dir
 
-FILE_BYTES = 6 << 20  # of input for each file
+FILE_BYTES = 6 << 20  # of input for each part
+RECORDS = 100_000  # of a file
+LEADING = 16  # characters of a text that deal the rows of one id
 END = 2
 _HEAD = struct.Struct("<qBB")
 _FRAME = pa.schema([("record", pa.binary())])
@@ -68,10 +72,31 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END, do
             for i, j, ids, offs in encoder.encode(b.column(1)):
                 yield batch(_FRAME, [frame(ids_of[i + k], np.append(ids[offs[k] : offs[k + 1]], end), width)[:-1] for k in range(j - i)])
 
-    parts = pieces_for(docs, FILE_BYTES)
-    # By id alone: the ranges come from a sample of keys on the driver, where texts have no place.
-    rows = pick(docs, doc_id, text).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
+    parts, rows = min(PARTITIONS, pieces_for(docs, FILE_BYTES)), pick(docs, doc_id, text)
+    order = [F.col("doc_id").asc_nulls_first()]
+    # The ranges come from a sample of keys on the driver, where texts have no place, and their first characters only if need be.
+    if has_hot_id(rows, parts):
+        order.append(F.substring("text", 1, LEADING).asc_nulls_first())
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", RECORDS).text(path)
+
+
+def has_hot_id(rows: DataFrame, parts: int) -> bool:
+    """Does one id (or none) hold more rows than four parts should? Reads ids alone; a superset of all such ids, of bounded size, is counted exactly."""
+    if parts < 8:
+        return False
+    share = max(4 / parts, 1e-4)
+    ids = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    some = ids.stat.freqItems(["id"], share).first()[0] or []
+    n = ids.count()
+    top = ids.where(F.col("id").isin(some)).groupBy("id").count().agg(F.max("count")).first()[0] if some else 0
+    return (top or 0) > share * n
+
+
+def file_order(name: str) -> tuple[int, int]:
+    """Number of the part and of the file in it, by which files follow each other; names themselves do so up to 99,999 parts only."""
+    found = re.match(r"part-(\d+).*?(?:-c(\d+))?(?:\.[^-]*)?$", name)
+    return int(found[1]), int(found[2] or 0)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +124,7 @@ def token_records(docs: DataFrame, vocabulary: str, end: int = END, doc_id: str
     index(spark, f"{path}/tokens").write.parquet(f"{path}/index")
     rows = spark.read.parquet(f"{path}/index")
     # One row for each file: a few bytes for every FILE_BYTES of input.
-    files = sorted((r.file, r.n) for r in rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())
+    files = sorted(((r.file, r.n) for r in rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()), key=lambda x: file_order(x[0]))
     ends = np.cumsum([0, *(n for _, n in files)]).tolist()
     first = spark.createDataFrame([(f, e) for (f, _), e in zip(files, ends, strict=False)] or [("", 0)], "file string, first long")
     return rows.join(F.broadcast(first), "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "position", "size")

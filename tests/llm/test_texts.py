@@ -259,6 +259,28 @@ def test_records(docs, spark, tmp_path):
         at += len(ids)
 
 
+def test_files_follow_each_other_by_number():
+    names = ["part-99999-ab-c000.txt", "part-100000-ab-c000.txt", "part-00002-ab-c001.txt", "part-00002-ab-c000.txt", "part-00002-1c3-c010.txt.gz"]
+    assert [token_files.file_order(x) for x in names] == [(99999, 0), (100000, 0), (2, 1), (2, 0), (2, 10)]
+
+
+def test_records_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2_000)
+    monkeypatch.setattr(token_files, "RECORDS", 7)
+    rng = random.Random(2)
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, None if k % 50 == 0 else " ".join(rng.choice(["river", "stone", "a", "the"]) for _ in range(rng.randint(0, 60)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert token_files.has_hot_id(df, 40) and not token_files.has_hot_id(df.where("doc_id <> 5"), 40)
+    got = sorted(token_files.token_records(df, tokens.vocabulary()).collect(), key=lambda r: r.start)
+    full, at = tokens.Encoder(tokens.vocabulary()).full, 0
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for r, (k, t) in zip(got, want, strict=True):
+        ids = np.array([*full.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len({r.file for r in got}) > 50
+
+
 @pytest.mark.parametrize("run", [quality.quality_rules, licences.license_scan, pii.personal_data, lambda d: token_files.token_records(d, tokens.vocabulary())])
 def test_odd_rows_and_empty_tables(run, odd, none):
     assert run(odd).count() == odd.count() and run(none).count() == 0
