@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every step is a grouped minimum and a join, so no vertex's links are gathered in one task; each
-round is cut from its lineage by a written table.
+Every step is a grouped minimum, combined before its shuffle, and a join on the vertex. The links of a vertex that many link to meet in one
+partition of that join unless adaptive execution splits it; they stream and may spill, so they take time but no memory. Each
+round is cut from its lineage by a written table; the table before is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut_at, remove, shared_dir
 
 
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
@@ -27,8 +28,8 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(vertex, component) of each vertex with a link to another; component is its least vertex. links: (a, b)."""
-    edges = cut(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct())
-    mark = None
+    spark, path, mark = links.sparkSession, shared_dir(links.sparkSession), None
+    edges = cut_at(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), path)
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
@@ -36,5 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
         if not now.n:
             break
-        edges = cut(_stars(_stars(edges, True), False))
+        before, path = path, shared_dir(spark)
+        edges = cut_at(_stars(_stars(edges, True), False), path)
+        remove(spark, before)
     return edges.select(F.col("high").alias("vertex"), F.col("low").alias("component")).unionByName(edges.select(F.col("low").alias("vertex"), F.col("low").alias("component")).distinct())

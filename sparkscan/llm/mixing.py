@@ -19,7 +19,8 @@ driver gets TELLING words and a few numbers a row. Token counts, posteriors and
 Defined results: a null or empty text has no tokens, the posteriors of an empty text, and the rate that its posteriors give;
 repeated rows are separate documents, and the first of their texts by order is the labelled one; of conflicting labels of one id the
 worse count (toxic before poor before good); a null id is kept; an empty documents table gives no rows; without labelled rows of
-two domains every posterior is the labelled shares (all good without any) and all rates follow from those; extra columns are not read.
+two domains every posterior is the labelled shares (all good without any) and all rates follow from those; extra columns are not read, but for
+those to carry along (``more``, which must not be named as a result).
 """
 
 from __future__ import annotations
@@ -173,15 +174,18 @@ def train(sample: DataFrame, rounds: int = 300, rate: float = 0.03) -> Classifie
     return model
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, tokens (words) and the posterior of each domain, by row of docs."""
+def memberships(docs: DataFrame, model: Classifier, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tokens (words), the posterior of each domain and the columns named in more, by row of docs, which starts with id and text."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    at = [docs.columns.index(c) for c in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, n, sparse in _features(b.column(1)):
-                yield batch(_ROWS, b.column(0)[i:j], n, *model.posteriors(j - i, sparse).T)
+                row = batch(_ROWS, b.column(0)[i:j], n, *model.posteriors(j - i, sparse).T)
+                yield pa.RecordBatch.from_arrays([*row.columns, *(b.column(k)[i:j] for k in at)], names=[*row.schema.names, *more])
 
-    return docs.mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return docs.mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + "".join(f", `{c}` {kinds[c]}" for c in more))
 
 
 def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
@@ -232,6 +236,7 @@ def fit(members: DataFrame, targets=TARGETS) -> np.ndarray:
     """The pull from which every document's rate follows by its posteriors."""
     k = len(DOMAINS)
     size = k + 1 + k * k
+    needed = members.select("doc_id", "tokens", *(f"p_{d}" for d in DOMAINS))
 
     def totals(pulls: list[np.ndarray]) -> np.ndarray:
         names = [f"x{i}" for i in range(size * len(pulls))]
@@ -243,23 +248,21 @@ def fit(members: DataFrame, targets=TARGETS) -> np.ndarray:
                 out += [state(n, p, x) for x in pulls]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out.reshape(-1)], names=names)
 
-        got = members.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x) for x in names)).first()
+        got = needed.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x) for x in names)).first()
         return np.array([x or 0 for x in got], float).reshape(len(pulls), size)
 
     return descend(totals, targets)
 
 
 def with_rates(members: DataFrame, pull: np.ndarray) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.stack([b.column(2 + d).to_numpy() for d in range(len(DOMAINS))], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(p, pull))], names=[*b.schema.names, "rate"])
-
-    return members.mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
+    """members with their ``rates``, by one expression."""
+    pulled = sum((F.col(f"p_{d}") * float(u) for d, u in zip(DOMAINS, pull, strict=True)), F.lit(0.0))
+    return members.withColumn("rate", F.greatest(F.lit(0.0), 1 - pulled))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tokens, posteriors and rate, by row of docs."""
-    docs = pick(docs, doc_id, text)
-    members = cut(memberships(docs, train(cut(labelled(docs, labels)))))
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tokens, posteriors, the columns named in more and rate, by row of docs."""
+    own = pick(docs, doc_id, text)
+    carried = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string").alias(text), *(c for c in more if c != text))
+    members = cut(memberships(carried, train(cut(labelled(own, labels))), more))
     return with_rates(members, fit(members, targets))

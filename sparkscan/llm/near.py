@@ -8,11 +8,12 @@
    anybody looks up ties its holders, of sizes that may link, to the least of them: one row a holder, not one a pair.
 4. Tied candidates are a cluster.  A cluster's sets are compared exactly by an inverted index of their shingles, which counts what
    a set shares with all others at once.  A cluster of more than TILE sets is cut into tiles and each pair of tiles is one
-   task, so no task holds more than 2 * TILE sets.  Links that tie nothing new are not returned.
+   task, so no task holds more than 2 * TILE sets.  Every link is counted for both of its sets; of the links themselves only
+   those that tie something new are returned, as a dense cluster has as many as its pairs.
 
 Defined results: a null, empty or wordless text has no shingles and links with nothing; fewer words than WORDS
-make one shingle; rows with one id are one vertex that has the links of each of them; a row with
-a null id has a null component and links with nothing; an empty table gives no rows; only the id and text columns are read.
+make one shingle; rows with one id are one vertex that has the links of each of them; n_links counts the other sets (not
+documents: copies are one set) that the row's set links with, also for copies; a row with a null id has no links counted, a null component and links with nothing; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -166,8 +167,8 @@ def ties(cand: DataFrame, n: int, percent: int, cost: np.ndarray) -> DataFrame:
     return cand.select("doc_id", "n", "keys").mapInArrow(emit, "slice long, data binary").groupBy("slice").applyInArrow(meet, "a long, b long").distinct()
 
 
-def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int, left: np.ndarray | None = None) -> tuple[list[int], list[int]]:
-    """Links among sets, without those that tie nothing new; with left, only between sets that differ in it."""
+def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int, left: np.ndarray | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Links among sets, without those that tie nothing new, and the number of all links of each set; with left, only between sets that differ in it."""
     size = np.diff(first)
     owner = np.repeat(np.arange(len(ids)), size)
     shared = (key & np.uint64(S.ALONE)) == 0
@@ -181,7 +182,7 @@ def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int,
     group[order] = np.cumsum(new) - 1
     holders = owner[order]
     mine = np.searchsorted(owner, np.arange(len(ids) + 1))
-    label, a, b = np.arange(len(ids)), [], []
+    label, a, b, n = np.arange(len(ids)), [], [], np.zeros(len(ids), np.int64)
     for x in range(len(ids)):
         own = group[mine[x] : mine[x + 1]]
         own = own[count[own] > 1]
@@ -189,19 +190,22 @@ def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int,
             continue
         both = np.bincount(holders[A.ragged(start[own], count[own])], minlength=len(ids))
         ok = 100 * both >= percent * (size + size[x] - both)
-        ok &= label != label[x]
+        ok[x] = False
         if left is not None:
             ok &= left != left[x]
+        n[x] = np.count_nonzero(ok)
+        ok &= label != label[x]
         for y in np.flatnonzero(ok).tolist():
             if label[y] != label[x]:
                 label[label == label[y]] = label[x]
                 a.append(int(ids[x]))
                 b.append(int(ids[y]))
-    return a, b
+    return a, b, n
 
 
 def verified(clusters: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside clusters, enough of them to tie all that link; clusters has doc_id, keys and cluster."""
+    """Links (a, b) inside clusters, enough of them to tie all that link, and rows (a, a, n) with numbers of links of a's set, to be
+    added up; clusters has doc_id, keys and cluster."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     placed = clusters.join(sizes, "cluster").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
@@ -210,17 +214,19 @@ def verified(clusters: DataFrame, percent: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         across = table["i"][0].as_py() != table["j"][0].as_py()
         key, first = _unpack_sets(table["keys"].combine_chunks())
-        a, b = links_of(table["doc_id"].to_numpy(), key, first, percent, table["tile"].to_numpy() if across else None)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ids = table["doc_id"].to_numpy()
+        a, b, n = links_of(ids, key, first, percent, table["tile"].to_numpy() if across else None)
+        some = np.flatnonzero(n)
+        return pa.table({"a": pa.array([*a, *ids[some].tolist()], pa.int64()), "b": pa.array([*b, *ids[some].tolist()], pa.int64()), "n": pa.array([*[0] * len(a), *n[some].tolist()], pa.int64())})
 
-    return spread.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return spread.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = S.WORDS, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id by row of docs; two sets link when 100 * shared >= percent * union (75 or more)."""
+    """doc_id, n_shingles, component_id and n_links by row of docs; two sets link when 100 * shared >= percent * union (75 or more)."""
     if percent < 75:
         raise ValueError("the segments' numbers hold for 75 percent and more")
     docs = pick(docs, doc_id, text)
@@ -228,7 +234,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     n = B.slices_for(docs)
     cand = cut(candidates(docs, base, words, percent))
     found = components(ties(cand, n, percent, costs(cand))).withColumnRenamed("component", "cluster")
-    links = verified(cand.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id").select("doc_id", "keys", "cluster"), percent)
+    links = cut(verified(cand.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id").select("doc_id", "keys", "cluster"), percent))
+    numbers = links.where("n > 0").groupBy(F.col("a").alias("holder")).agg(F.sum("n").alias("n_links"))
     holders = base.where("n_shingles > 0 and doc_id is not null")
     # A row's set may be held by another id; rows with one id tie their sets together.
     classes = holders.groupBy("k1", "k2").agg(F.min("doc_id").alias("holder"))
@@ -236,7 +243,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other = held.where("doc_id <> holder").select(F.col("holder").alias("a"), F.col("doc_id").alias("b"))
     repeated = holders.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     tied = other.join(repeated.select(F.col("doc_id").alias("b")), "b").select("a", "b")
-    links = components(links.unionByName(tied)).select(F.col("vertex").alias("holder"), "component")
-    groups = classes.join(links, "holder", "left").select("k1", "k2", F.coalesce("component", "holder").alias("component"))
+    links = components(links.where("a <> b").select("a", "b").unionByName(tied)).select(F.col("vertex").alias("holder"), "component")
+    groups = classes.join(links, "holder", "left").join(numbers, "holder", "left").select("k1", "k2", F.coalesce("component", "holder").alias("component"), "n_links")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return base.join(groups, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id")).alias("component_id"))
+    number = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("n_links"))
+    return base.join(groups, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, own).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce(number, F.lit(0)).alias("n_links"))

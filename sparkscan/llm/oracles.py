@@ -11,8 +11,11 @@ p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a J
 l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 e AS MATERIALIZED (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
-c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
-SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.x = w.doc_id"""
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+k AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS holder FROM (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS g FROM s GROUP BY doc_id)),
+m AS (SELECT x, count(DISTINCT b.holder) AS n_links FROM e JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE a.holder <> b.holder GROUP BY x)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.x = w.doc_id LEFT JOIN m ON m.x = w.doc_id"""
 
 OP3 = f"""
 WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),

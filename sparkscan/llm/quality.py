@@ -8,7 +8,7 @@ distances of each document from its language's reference.
 Defined results: a null text is an empty one; a null language is a language
 of its own; a language of fewer than ``ENOUGH`` words, whatever its share, has distances from all languages
 together, by which its documents are not judged; repeated rows each give a row; an empty table gives no rows; columns other than the three
-named are never read.
+and those to carry along (``more``, which must not be named as a result) are never read.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def _assess(refs: dict[str, tuple]):
+def _assess(refs: dict[str, tuple], carried: list[int]):
+    """Rows for batches of id, text, language and others; carried are the places of the columns that come back beside."""
     names = sorted(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,8 @@ def _assess(refs: dict[str, tuple]):
             indices = langs.indices.to_numpy(zero_copy_only=False)
             codes, judged = to[indices], own[indices]
             for i, j, buf, offs in A.slabs(b.column(1)):
-                yield _rows(b.column(0)[i:j], buf, offs, codes[i:j], judged[i:j])
+                row = _rows(b.column(0)[i:j], buf, offs, codes[i:j], judged[i:j])
+                yield pa.RecordBatch.from_arrays([*row.columns, *(b.column(k)[i:j] for k in carried)], names=[*row.schema.names, *(f"m{k}" for k in range(len(carried)))])
 
     def _rows(ids, buf, offs, code, judged):
         docs = len(offs) - 1
@@ -181,10 +183,15 @@ def _assess(refs: dict[str, tuple]):
     return run
 
 
-def assess(docs: DataFrame, refs: dict[str, tuple], doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rule counts and distances of each row of docs, and whether these are from its own language."""
+def assess(docs: DataFrame, refs: dict[str, tuple], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", more: tuple[str, ...] = ()) -> DataFrame:
+    """Rule counts and distances of each row of docs, whether these are from its own language, and the columns named in more."""
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, judged boolean"
-    return pick(docs, doc_id, text, F.col(lang).cast("string").alias("lang")).mapInArrow(_assess(refs), schema)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    others = [c for c in more if c != text or kinds[c] != "string"]  # the text is there already
+    carried = [3 + others.index(c) if c in others else 1 for c in more]
+    rows = pick(docs, doc_id, text, F.col(lang).cast("string").alias("lang"), *(F.col(c).alias(f"m{k}") for k, c in enumerate(others)))
+    rows = rows.mapInArrow(_assess(refs, carried), schema + "".join(f", m{k} {kinds[c]}" for k, c in enumerate(more)))
+    return rows.withColumnsRenamed({f"m{k}": c for k, c in enumerate(more)})
 
 
 def judge(rows: DataFrame, max_class: float = MAX_CLASS, max_word: float = MAX_WORD) -> DataFrame:
@@ -196,5 +203,5 @@ def judge(rows: DataFrame, max_class: float = MAX_CLASS, max_word: float = MAX_W
     return rows.withColumn("base_failed", base).withColumn("kept", ~base & near).drop("judged")
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    return judge(assess(docs, reference(docs, text, lang), doc_id, text, lang))
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", more: tuple[str, ...] = ()) -> DataFrame:
+    return judge(assess(docs, reference(docs, text, lang), doc_id, text, lang, more))

@@ -135,6 +135,53 @@ def test_mixing_odd_rows(odd, none, spark):
     assert mixing.mixing_rates(none, labels).count() == 0 and mixing.mixing_rates(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_mixing_and_quality_carry_columns(odd, spark):
+    from sparkscan.llm import quality
+
+    labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    whole = sorted(odd.select("doc_id", "text", "source", "block").collect(), key=str)
+    for rows in (mixing.mixing_rates(odd, labels, more=("text", "source", "block")), quality.quality_rules(odd, more=("source", "text", "block"))):
+        assert sorted(rows.select("doc_id", "text", "source", "block").collect(), key=str) == whole
+    plain, carried = (quality.quality_rules(odd, more=x).select("doc_id", "n_words", "kept").collect() for x in ((), ("text",)))
+    assert sorted(plain, key=str) == sorted(carried, key=str)
+
+
+def test_pipeline_odd_rows(odd, none, spark, tmp_path):
+    """Each row stands by itself: ids may be null or repeated. Copies go in the join, which keeps one row of an id; null ids have no copies."""
+    import corpus_pipeline as pipeline
+    from sparkscan.llm import tables
+
+    sf = "/root/testdata/sf0.001"
+    poor = spark.createDataFrame([(1, "too short", "en", "a", 9, 0, 0)], odd.schema)
+    stages = dict(pipeline.STAGES)
+    rows = lambda x: sorted((r.doc_id or 0, (r.text or "")[:2], r.source or "") for r in x.collect())
+    whole = odd.unionByName(poor)
+    prose = F.when(F.col("text").startswith("w0"), " ".join(f"w{k}" for k in range(80))).otherwise(F.col("text"))
+    assert rows(stages["quality rules"](spark, whole.withColumn("text", prose), sf)) == [(0, "w0", "b"), (1, "w0", "a"), (1, "w0", "a"), (2, "w0", "")]
+    assert rows(stages["line dedup"](spark, whole, sf)) == [(0, "w0", "b"), (1, "to", "a"), (1, "w0", "a"), (1, "w0", "a"), (2, "w0", ""), (5, "wo", "c"), (7, "on", "c"), (8, "xx", "c")]
+    assert rows(stages["n-gram Jaccard join"](spark, odd, sf)) == [(0, "", ""), (0, "w0", "b"), (1, "w0", "a"), (3, "", "b"), (4, "", "b"), (5, "wo", "c"), (6, " \t", "c"), (7, "on", "c"), (8, "xx", "c")]
+    mixed = stages["mixing to target weights"](spark, whole, sf)
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {(r.doc_id, r.text) for r in whole.collect()}
+    pieces = stages["packing"](spark, whole, sf)
+    assert pieces.where("start = 0").count() == whole.count()
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        with tables.scratch(spark):
+            stage(spark, none, sf).write.parquet(str(tmp_path / str(k)))
+        assert spark.read.parquet(str(tmp_path / str(k))).count() == 0, name
+        assert k == 4 or stage(spark, whole, sf).columns == list(pipeline.COLUMNS), name
+
+
+def test_scratch_deletes_what_was_cut(odd, spark):
+    from sparkscan.llm import tables
+
+    with tables.scratch(spark):
+        kept = tables.cut(odd)
+        assert kept.count() == odd.count()
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 

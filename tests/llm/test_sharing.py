@@ -118,21 +118,27 @@ def brute_groups(texts):
             x = parent[x]
         return x
 
-    links = 0
+    others = {k: set() for k in sets}
     for a in sets:
         for b in sets:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-                links += sets[a] != sets[b]
-    return {k: (len(s), find(k)) for k, s in sets.items()}, links
+                if sets[a] != sets[b]:
+                    others[a].add(frozenset(sets[b]))
+                    others[b].add(frozenset(sets[a]))
+    return {k: (len(s), find(k), len(others[k])) for k, s in sets.items()}
+
+
+def groups_of(rows):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows.collect()}
 
 
 def test_near_duplicates(spark, small_blocks):
     rows = {k * 3: t for k, t in enumerate(corpus(2))}
-    want, links = brute_groups(rows)
-    got = near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and links > 20
+    want = brute_groups(rows)
+    got = near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3))
+    assert groups_of(got) == want and sum(n for _, _, n in want.values()) > 40
 
 
 def test_a_chain_of_near_copies_is_one_group(spark):
@@ -142,9 +148,8 @@ def test_a_chain_of_near_copies_is_one_group(spark):
         rows.append((k, " ".join(words)))
         for _ in range(4):
             words[rng.randrange(300)] = f"x{rng.random()}"
-    want, _ = brute_groups(dict(rows))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want and len({c for _, c in want.values()}) == 1
+    want = brute_groups(dict(rows))
+    assert groups_of(near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want and len({c for _, c, _ in want.values()}) == 1
 
 
 def test_every_linked_pair_shares_a_signature_that_is_looked_up():
@@ -170,9 +175,7 @@ def test_every_linked_pair_shares_a_signature_that_is_looked_up():
 def test_tiles_find_the_same_links(spark, monkeypatch):
     monkeypatch.setattr(near, "TILE", 7)
     rows = {k: t for k, t in enumerate(corpus(4, 90))}
-    want, _ = brute_groups(rows)
-    got = near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert groups_of(near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))) == brute_groups(rows)
 
 
 def test_components(spark):
@@ -276,5 +279,5 @@ def test_odd_rows(odd):
     line = lines.line_dedup(odd).collect()
     assert len(line) == n and all(r.n_dropped == 0 for r in line)
     groups = near.near_duplicates(odd).collect()
-    assert len(groups) == n and {(r.doc_id, r.component_id) for r in groups} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (None, None)}
+    assert len(groups) == n and {(r.doc_id, r.component_id, r.n_links) for r in groups} == {(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (None, None, 0)}
     assert packing.pack(odd, tokens.vocabulary()).where("start = 0").count() == n
