@@ -47,6 +47,7 @@ HEADROOM = 1.03
 L2 = 2e-4
 STEPS = 60
 CLOSE = 1e-4  # of a domain's own target
+SOFT = 1.0  # for a corpus that takes a document once: how far a domain's relative gap may grow with its pull
 LENGTHS = (1.0, 0.5, 0.25, 0.0625)  # of a step, all tried in one pass
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), *((f"p_{d}", pa.float64()) for d in DOMAINS)])
@@ -193,12 +194,14 @@ def rates(p: np.ndarray, pull: np.ndarray) -> np.ndarray:
     return np.maximum(0, 1 - p @ pull)
 
 
-def wanted(have: np.ndarray, targets) -> np.ndarray:
+def wanted(have: np.ndarray, targets, once: bool = False) -> np.ndarray:
     """Tokens to reach in each domain. The one with the greatest target is asked for a little more than there is, so that its documents are
-    taken once at least."""
+    taken once at least. A corpus that takes each document once at most can't hold more of a domain than there is: with ``once``
+    no domain is asked for more, as a scarce one could only grow in share by dropping documents of the others."""
     share = np.array(targets, float) / sum(targets)
     most = int(np.argmax(share))
-    return share * HEADROOM * float(have[most] / share[most])
+    want = share * HEADROOM * float(have[most] / share[most])
+    return np.minimum(want, have) if once else want
 
 
 def state(n: np.ndarray, p: np.ndarray, pull: np.ndarray) -> np.ndarray:
@@ -208,11 +211,12 @@ def state(n: np.ndarray, p: np.ndarray, pull: np.ndarray) -> np.ndarray:
     return np.concatenate(((r * n) @ p, [(r * r) @ n / 2], ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)))
 
 
-def descend(totals, targets=TARGETS) -> np.ndarray:
+def descend(totals, targets=TARGETS, once: bool = False) -> np.ndarray:
     """The sum of the descent's steps; totals(pulls) gives the sums of state for each of several pulls.
 
     A step weighed by the free rates' products would meet the targets if no more rates ran into 0, but may be too long; one weighed by
-    all rates' products never is. Of these and of shorter ones the best is taken.
+    all rates' products never is. Of these and of shorter ones the best is taken. With ``once`` a domain's pull ends at its relative gap over
+    SOFT: targets that no rates can meet, as every posterior is above them, would otherwise pull nearly all rates to 0.
     """
     k = len(targets)
     pull = np.zeros(k)
@@ -220,19 +224,21 @@ def descend(totals, targets=TARGETS) -> np.ndarray:
     if not now[:k].sum():
         return pull
     whole = now[k + 1 :].reshape(k, k)
-    ridge, want = 1e-9 * np.trace(whole) * np.eye(k), wanted(now[:k], targets)
+    ridge, want = 1e-9 * np.trace(whole) * np.eye(k), wanted(now[:k], targets, once)
+    hold = want * SOFT * once
+    ridge = ridge + np.diag(hold)
     for _ in range(STEPS):
-        gap = now[:k] - want
+        gap = now[:k] - want - hold * pull
         if (np.abs(gap) <= CLOSE * want).all():
             break
         step = np.linalg.solve(now[k + 1 :].reshape(k, k) + ridge, gap)
         tries = [*(pull + c * step for c in LENGTHS), pull + np.linalg.solve(whole + ridge, gap)]
         # The gaps are the gradient of this convex sum, which a good step lowers most.
-        now, pull = min(zip(totals(tries), tries, strict=True), key=lambda x: x[0][k] + x[1] @ want)
+        now, pull = min(zip(totals(tries), tries, strict=True), key=lambda x: x[0][k] + x[1] @ (want + hold * x[1] / 2))
     return pull
 
 
-def fit(members: DataFrame, targets=TARGETS) -> np.ndarray:
+def fit(members: DataFrame, targets=TARGETS, once: bool = False) -> np.ndarray:
     """The pull from which every document's rate follows by its posteriors."""
     k = len(DOMAINS)
     size = k + 1 + k * k
@@ -251,7 +257,7 @@ def fit(members: DataFrame, targets=TARGETS) -> np.ndarray:
         got = needed.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x) for x in names)).first()
         return np.array([x or 0 for x in got], float).reshape(len(pulls), size)
 
-    return descend(totals, targets)
+    return descend(totals, targets, once)
 
 
 def with_rates(members: DataFrame, pull: np.ndarray) -> DataFrame:
@@ -260,9 +266,9 @@ def with_rates(members: DataFrame, pull: np.ndarray) -> DataFrame:
     return members.withColumn("rate", F.greatest(F.lit(0.0), 1 - pulled))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, tokens, posteriors, the columns named in more and rate, by row of docs."""
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, doc_id: str = "doc_id", text: str = "text", more: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """doc_id, tokens, posteriors, the columns named in more and rate, by row of docs; once: for a corpus that takes a document at most once."""
     own = pick(docs, doc_id, text)
     carried = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string").alias(text), *(c for c in more if c != text))
     members = cut(memberships(carried, train(cut(labelled(own, labels))), more))
-    return with_rates(members, fit(members, targets))
+    return with_rates(members, fit(members, targets, once))

@@ -126,6 +126,24 @@ def test_descent_against_plain_projected_gradient(seed, shares, sharp):
         assert (r - 1) ** 2 @ n <= (plain - 1) ** 2 @ n * (1 + 1e-3)
 
 
+@pytest.mark.parametrize("shares", [(0.99, 0.006, 0.004), (1, 0, 0), (0.9, 0.09, 0.01)])
+def test_taken_once_a_scarce_domain_drops_no_others(shares):
+    rng = np.random.default_rng(8)
+    n, kind = rng.integers(1, 2000, 3000).astype(float), rng.choice(3, 3000, p=shares)
+    score = rng.normal(size=(3000, 3)) + 8 * np.eye(3)[kind]
+    p = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+    r = mixing.rates(p, mixing.descend(lambda pulls: np.array([mixing.state(n, p, x) for x in pulls]), once=True))
+    assert r[kind == 0].min() > 0.8 and (shares[1] != 0.09 or r[kind == 1].mean() < 0.5)
+
+
+def test_taken_once_targets_below_every_posterior_drop_few():
+    rng = np.random.default_rng(9)
+    n, soft = rng.integers(1, 2000, 3000).astype(float), rng.uniform(0.03, 0.15, 3000)
+    p = np.stack((1 - 2 * soft, soft, soft), axis=1)
+    r = mixing.rates(p, mixing.descend(lambda pulls: np.array([mixing.state(n, p, x) for x in pulls]), once=True))
+    assert r.min() > 0.2 and r.mean() > 0.6
+
+
 def test_mixing_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, 0), (None, 1, 1), (5, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.mixing_rates(odd, labels).collect()
@@ -200,6 +218,8 @@ def test_pipeline(spark, tmp_path):
         if k == 2:
             groups = near.near_duplicates(docs)
             assert {r.doc_id for r in after.collect()} == {r.component_id for r in groups.collect()}
+        if k == 3:
+            assert docs.join(labels, "doc_id").join(after, "doc_id", "left_anti").count() <= docs.count() // 20
         before, docs = docs, after
     assert {r.doc_id for r in before.collect()} == {r.doc_id for r in docs.collect()}
     assert pipeline.run(spark, sf).count() == docs.count()
