@@ -3,13 +3,13 @@
 The two halves of a vector are quantised separately, so K centroids a half make K * K cells. A
 query walks pairs of centroids by falling sum of its inner products with them, from a heap, until
 the cells hold a share of all entries; those entries are reranked with the exact measure.  The share
-is the least for which sample queries find RECALL of their true neighbours; it is measured, per
-run, on a bounded sample.  Centroids are fitted on the same sample (SAMPLE rows); every row is
-indexed.
+is the least for which PROBES entries find RECALL of their true neighbours, which are sought by brute force among all
+entries in every run, so it fits the table's size.  Centroids are fitted on a sample (SAMPLE rows); every row is indexed.
 
 Equal vectors are one entry with their smallest ids, as many as a result needs, so a vector that a
 third of all rows hold costs one entry.  Entries go to parts by their cell and queries go to the parts whose cells
-they visit; a large cell is spread over several parts.
+they visit; a large cell is spread over several parts, and the queries of a part are cut into blocks that each get its entries. So
+a task holds about PART_ROWS entries and BLOCK_QUERIES queries. A query carries the sum of the last pair that it visits, not its cells.
 
 Defined results: vectors that are null, zero, of another length than the table's most common one, or hold a null or
 non-finite number take no part; rows with a null id neither; rows with one id are separate entries and may both be
@@ -23,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import by_number, cut
 
 K = 20
 EVERY = 20  # rows whose id this divides are the queries
 SAMPLE = 4000
-RECALL = 0.97  # to reach on the sample, for 0.9 on all
+RECALL = 0.97  # to reach for the probes, for 0.9 on all
+PROBES = 200  # entries whose true neighbours are sought among all
 PART_ROWS = 20_000  # entries of a part
+BLOCK_QUERIES = 20_000  # of a part, in one task
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -70,9 +73,17 @@ class Quantiser:
     def cells(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x[:, : self.cut], self.halves[0]) * self.k + _nearest(x[:, self.cut :], self.halves[1])
 
+    def products(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query's halves with their centroids."""
+        return self.halves[0] @ q[: self.cut], self.halves[1] @ q[self.cut :]
+
+    def sums(self, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        one, two = self.products(q)
+        return one[cells // self.k] + two[cells % self.k]
+
     def visit(self, q: np.ndarray, count: np.ndarray, least: int) -> list[int]:
         """Non-empty cells by falling sum of products until they hold ``least`` entries."""
-        one, two = self.halves[0] @ q[: self.cut], self.halves[1] @ q[self.cut :]
+        one, two = self.products(q)
         a, b = np.argsort(-one), np.argsort(-two)
         heap, out, held, seen = [(-(one[a[0]] + two[b[0]]), 0, 0)], [], 0, {(0, 0)}
         while heap and held < least:
@@ -94,26 +105,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def measured_share(sample: np.ndarray, quantiser: Quantiser, k: int, recall: float) -> float:
-    """The least share of entries to visit with which sample queries reach the recall."""
-    cells = quantiser.cells(sample)
-    count = np.bincount(cells, minlength=quantiser.k**2)
-    queries = np.arange(0, len(sample), max(1, len(sample) // 200))
-    place = []  # share of entries visited before each true neighbour is
-    for q in queries:
-        score = sample @ sample[q]
-        score[q] = -np.inf
-        true = np.argsort(-score)[: min(k, len(sample) - 1)]
-        order = quantiser.visit(sample[q], count, len(sample))
-        before = np.zeros(quantiser.k**2)
-        before[order] = np.cumsum(count[order])
-        place += (before[cells[true]] / len(sample)).tolist()
+def true_cells(placed: DataFrame, probes: np.ndarray, owners: np.ndarray, k: int) -> DataFrame:
+    """probe, cell: where the k nearest of each probe are, by brute force over all entries. owners: the probes' own least ids."""
+    schema = "probe int, cell long, score double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, cell = np.zeros((len(probes), 0)), np.zeros((len(probes), 0), np.int64)
+        for b in batches:
+            new = probes @ _matrix(b.column(0)).T
+            least = pc.list_element(b.column(1), 0).to_numpy()
+            new[owners[:, None] == least[None, :]] = -np.inf
+            score = np.concatenate((score, new), axis=1)
+            cell = np.concatenate((cell, np.broadcast_to(b.column(2).to_numpy(), new.shape)), axis=1)
+            if score.shape[1] > k:
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, cell = np.take_along_axis(score, top, 1), np.take_along_axis(cell, top, 1)
+        probe = np.broadcast_to(np.arange(len(probes), dtype=np.int32)[:, None], score.shape)
+        ok = score > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(probe[ok]), pa.array(cell[ok]), pa.array(score[ok])], names=["probe", "cell", "score"])
+
+    found = placed.mapInArrow(run, schema)
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "cell"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("probe", "cell")
+
+
+def measured_share(probe: np.ndarray, cell: np.ndarray, probes: np.ndarray, quantiser: Quantiser, count: np.ndarray, recall: float) -> float:
+    """The least share of entries to visit with which probes reach the recall; probe, cell: where their true neighbours are."""
+    every, place = np.arange(quantiser.k**2), []  # share of entries visited when a true neighbour's cell has been
+    for i in range(len(probes)):
+        order = np.argsort(-quantiser.sums(probes[i], every), kind="stable")
+        held = np.empty(len(every))
+        held[order] = np.cumsum(count[order])
+        place += (held[cell[probe == i]] / count.sum()).tolist()
     if not place:
         return 1.0
     place = np.sort(place)
     return float(place[min(len(place) - 1, int(np.ceil(recall * len(place))))])
 
 
+def cells_for(n: int) -> int:
+    """Centroids of a half: some ten entries a cell, as far as a heap over 256 * 256 pairs is cheap."""
+    return int(np.clip(n**0.5 / 3, 2, 256))
+
+
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest, by falling score and rising id."""
     rows = cut(_usable(vectors, id_, vector))
@@ -123,9 +157,10 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_: str = "vec_
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return rows.sparkSession.createDataFrame([], schema)
-    sample = _matrix(entries.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow()["v"])
-    quantiser = Quantiser(sample, int(np.clip(n**0.25 * 2, 2, 256)))
-    share = measured_share(sample, quantiser, k, recall)
+    some = entries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v", F.col("ids")[0].alias("id")).toArrow()
+    sample = _matrix(some["v"])
+    probes, owners = sample[:PROBES], some["id"].to_numpy()[:PROBES]
+    quantiser = Quantiser(sample, cells_for(n))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,6 +171,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_: str = "vec_
     got = placed.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     count = np.zeros(quantiser.k**2, np.int64)
     count[got.cell.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
+    true = true_cells(placed, probes, owners, k).toPandas()  # at most PROBES * k rows
+    share = measured_share(true.probe.to_numpy(), true.cell.to_numpy(np.int64), probes, quantiser, count, recall)
     least = int(np.ceil(share * n)) + k
     # Cells are laid end to end and cut into parts of PART_ROWS; a cell may lie in several.
     start = np.cumsum(count) - count
@@ -149,31 +186,31 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_: str = "vec_
             part = low[cell] + np.abs(b.column(3).to_numpy()) % spread
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(part)], names=["v", "ids", "cell", "part"])
 
+    wanted = rows.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-wanted.count() // BLOCK_QUERIES))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1))
-            out_id, out_v, out_part, out_cells = [], [], [], []
-            for k_, (i, q) in enumerate(zip(b.column(0).to_pylist(), x, strict=True)):
-                by: dict[int, list[int]] = {}
-                for c in quantiser.visit(q, count, least):
-                    for p in range(int(low[c]), int(high[c]) + 1):
-                        by.setdefault(p, []).append(c)
-                for p, cells in by.items():
-                    out_id.append(i)
-                    out_v.append(k_)
-                    out_part.append(p)
-                    out_cells.append(cells)
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), b.column(1).take(pa.array(out_v, pa.int64())), pa.array(out_part, pa.int64()), pa.array(out_cells, pa.list_(pa.int64()))], names=["query_id", "q", "part", "cells"])
+            at, out_part, out_floor = [], [], []
+            for k_, q in enumerate(_matrix(b.column(1))):
+                cells = np.array(quantiser.visit(q, count, least))
+                reached = np.zeros(parts + 1, np.int64)  # starts and ends of the cells' runs of parts
+                np.add.at(reached, low[cells], 1)
+                np.add.at(reached, high[cells] + 1, -1)
+                to = np.flatnonzero(np.cumsum(reached)[:-1])
+                at += [k_] * len(to)
+                out_part += to.tolist()
+                out_floor += [quantiser.sums(q, cells[-1:])[0]] * len(to)
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(out_part, pa.int64()), pa.array(out_floor, pa.float64())], names=["query_id", "q", "block", "part", "floor"])
 
     def rerank(queries: pa.Table, part: pa.Table) -> pa.Table:
         ids, scores, found = [], [], []
         if queries.num_rows and part.num_rows:
-            part = part.sort_by("cell")
-            cell = part["cell"].to_numpy()
+            held, cell = np.unique(part["cell"].to_numpy(), return_inverse=True)
             x, owners = _matrix(part["v"]), part["ids"].to_pylist()
-            first = np.searchsorted(cell, np.arange(quantiser.k**2 + 1))
-            for i, q, cells in zip(queries["query_id"].to_pylist(), _matrix(queries["q"]), queries["cells"].to_pylist(), strict=True):
-                at = np.concatenate([np.arange(first[c], first[c + 1]) for c in cells])
+            for i, q, floor in zip(queries["query_id"].to_pylist(), _matrix(queries["q"]), queries["floor"].to_pylist(), strict=True):
+                at = np.flatnonzero((quantiser.sums(q, held) >= floor)[cell])
                 score = np.einsum("ij,j->i", x[at], q)  # one order of summing, whatever else is in the part
                 if len(at) > 2 * k + 2:
                     edge = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
@@ -185,12 +222,12 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, id_: str = "vec_
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     dealt = placed.withColumn("h", F.xxhash64("v")).mapInArrow(to_parts, "v array<double>, ids array<long>, cell long, part long")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    queries = queries.mapInArrow(route, "query_id long, q array<double>, part long, cells array<long>")
-    spread = max(1, parts)
-    found = queries.repartition(spread, "part").groupBy("part").cogroup(dealt.repartition(spread, "part").groupBy("part")).applyInArrow(rerank, _FOUND)
-    best = found.groupBy("query_id").applyInArrow(_best(k), schema)
-    return best
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long"))
+    queries = queries.mapInArrow(route, "query_id long, q array<double>, block long, part long, floor double")
+    keys = ["part", "block"]
+    found = by_number(queries, parts * blocks, *keys).groupBy(*keys).cogroup(by_number(dealt, parts * blocks, *keys).groupBy(*keys)).applyInArrow(rerank, _FOUND)
+    return found.groupBy("query_id").applyInArrow(_best(k), schema)
 
 
 def _best(k: int):

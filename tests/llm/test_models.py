@@ -55,6 +55,33 @@ def test_recall_outside_the_sample(spark, clusters):
     assert recall >= 0.9
 
 
+def test_blocks_of_queries_and_parts(spark, monkeypatch):
+    """Small parts and blocks find the same; every row of the test table is a candidate, and recall is held against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    whole = {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(rows).collect()}
+    monkeypatch.setattr(neighbours, "PART_ROWS", 70)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 9)
+    assert whole == {(r.query_id, r.rank): (r.vec_id, r.score) for r in neighbours.nearest(rows).collect()}
+    got = rows.select("vec_id", "embedding").where("embedding is not null").collect()
+    x, ids = np.array([r.embedding for r in got], float), np.array([r.vec_id for r in got])
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        true = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hit, total = hit + len(true & {whole[int(ids[q]), k][0] for k in range(1, 21)}), total + 20
+    print(f"recall of embeddings at sf0.01: {hit / total:.4f}")
+    assert hit / total >= 0.9
+
+
+def test_repeated_ids(spark):
+    """Rows with one id are entries of their own: a query's own id is never found, another's may be twice."""
+    x = np.eye(4, dtype=np.float32)
+    rows = vectors(spark, x[:2], [(0, x[2].tolist(), 0), (1, x[3].tolist(), 0)])
+    found = neighbours.nearest(rows.where("vec_id = 1").unionByName(rows.where("vec_id = 0 and embedding[0] = 1"))).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 1)]
+
+
 def test_few_neighbours(spark):
     found = neighbours.nearest(vectors(spark, np.eye(4, dtype=np.float32)[:3])).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 2)]
