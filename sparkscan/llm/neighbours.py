@@ -85,17 +85,21 @@ class Quantiser:
         """Non-empty cells by falling sum of products until they hold ``least`` entries."""
         one, two = self.products(q)
         a, b = np.argsort(-one), np.argsort(-two)
-        heap, out, held, seen = [(-(one[a[0]] + two[b[0]]), 0, 0)], [], 0, {(0, 0)}
+        x, y, a, b, counts = (-one[a]).tolist(), (-two[b]).tolist(), a.tolist(), b.tolist(), count.tolist()
+        heap, out, held = [(x[0] + y[0], 0, 0)], [], 0
         while heap and held < least:
-            _, i, j = heapq.heappop(heap)
-            cell = int(a[i]) * self.k + int(b[j])
-            if count[cell]:
+            _, i, j = heap[0]
+            cell = a[i] * self.k + b[j]
+            if counts[cell]:
                 out.append(cell)
-                held += int(count[cell])
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < self.k and y < self.k and (x, y) not in seen:
-                    seen.add((x, y))
-                    heapq.heappush(heap, (-(one[a[x]] + two[b[y]]), x, y))
+                held += counts[cell]
+            # A pair is followed by the next of its row, and the first of a row by the next row's first, so each pair is pushed once.
+            if j + 1 < self.k:
+                heapq.heapreplace(heap, (x[i] + y[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if not j and i + 1 < self.k:
+                heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
         return out
 
 
