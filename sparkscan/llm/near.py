@@ -6,9 +6,12 @@
 3. Candidates' universe-partition signatures go to slices of the signature space.  A set looks up the cheapest
    signatures that cover its largest difference (a bounded sketch counts signatures over all candidates), and a signature that
    anybody looks up ties its holders, of sizes that may link, to the least of them: one row a holder, not one a pair.
-4. Tied candidates are a cluster.  A cluster's sets are compared exactly by an inverted index of their shingles, which counts what
-   a set shares with all others at once.  A cluster of more than TILE sets is cut into tiles and each pair of tiles is one
-   task, so no task holds more than 2 * TILE sets.  Every link is counted for both of its sets; of the links themselves only
+4. Tied candidates are a cluster.  One shared shingle may tie two sets, so clusters of a large corpus run into each other.  Those of
+   more than TILE sets are first cut by parity sketches, a bit or two for each shingle: two sets differ in no fewer shingles than
+   their sketches in bits, so pairs of which these differ too much can't link, and only what the others tie stays together.
+5. A cluster's sets are compared exactly by an inverted index of their shingles, which counts what
+   a set shares with all others at once.  A cluster of more than TILE sets is cut into tiles of sets of one band of sizes, and each pair
+   of tiles of one or two neighbouring bands is one task, so no task holds more than 2 * TILE sets.  Every link is counted for both of its sets; of the links themselves only
    those that tie something new are returned, as a dense cluster has as many as its pairs.
 
 Defined results: a null, empty or wordless text has no shingles and links with nothing; fewer words than WORDS
@@ -203,14 +206,87 @@ def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int,
     return a, b, n
 
 
+def _tiled(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (cluster, doc_id, n) once for each pair (i, j) of tiles that they are in; right: the row's tile is j and not i. A cluster of up to TILE sets is
+    one tile; tiles of larger ones hold sets of one band, and meet those of their own and the neighbouring bands, as no others link."""
+    band = F.size(F.filter(F.array(*(F.lit(int(x)) for x in S.ENDS)), lambda end: end < F.col("n")))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, "cluster").withColumn("band", F.when(F.col("size") > TILE, band).otherwise(0))
+    own = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("own"))
+    tiles = own
+    for name, step in (("below", 1), ("above", -1)):
+        tiles = tiles.join(own.select("cluster", (F.col("band") + step).alias("band"), F.col("own").alias(name)), ["cluster", "band"], "left")
+    tiles = tiles.na.fill(0, ["below", "above"])
+    rows = rows.join(tiles, ["cluster", "band"]).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("own")).cast("int"))
+    number = lambda step, tile: F.shiftleft((F.col("band") + step).cast("long"), 32) + tile
+    mine = number(0, F.col("tile"))
+
+    def pairs(step: int, count: str):
+        other = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(other, lambda x: number(step, x))
+
+    spread = rows.withColumn("other", F.explode(F.concat(pairs(0, "own"), pairs(-1, "below"), pairs(1, "above"))))
+    return spread.select("cluster", F.least(mine, "other").alias("i"), F.greatest(mine, "other").alias("j"), (mine > F.col("other")).alias("right"), "doc_id", "n", *more)
+
+
+def parities(key: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """A sketch of each set: the parity of how many of its shingles fall on each of as many bits as its band may have shingles, or up to twice as many."""
+    mixed = A.finish((key | np.uint64(3)) * np.uint64(0xA0761D6478BD642F))
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
+        bits = max(64, 1 << int(S.ENDS[np.searchsorted(S.ENDS, b - a)] - 1).bit_length())
+        odd = np.bincount((mixed[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64))
+    return out
+
+
+def possible(ids: np.ndarray, size: np.ndarray, odd: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Pairs, enough of them to tie all sets that may link as far as their sketches tell; with left, only between sets that differ in it."""
+    width = min(len(x) for x in odd)
+    words = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in odd], axis=1)  # a longer sketch is folded
+    label, a, b = np.arange(len(ids)), [], []
+    for x in range(len(ids) - 1):
+        differ = np.bitwise_count(words[:, x + 1 :] ^ words[:, x, None]).sum(axis=0, dtype=np.int64)
+        ok = (100 + percent) * np.maximum(differ, np.abs(size[x + 1 :] - size[x])) <= (100 - percent) * (size[x + 1 :] + size[x])
+        if left is not None:
+            ok &= left[x + 1 :] != left[x]
+        ok &= label[x + 1 :] != label[x]
+        for y in (np.flatnonzero(ok) + x + 1).tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                a.append(int(ids[x]))
+                b.append(int(ids[y]))
+    return a, b
+
+
+def refined(cand: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """found (vertex, component), with components of more than TILE sets cut where sketches tell that no link crosses; sets that link with none are left out."""
+    large = found.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > TILE).select("component")
+    if large.isEmpty():
+        return found
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _rows(b):
+                odd = parities(*_unpack_sets(part.column(3)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in odd], pa.binary())], names=["cluster", "doc_id", "n", "odd"])
+
+    def run(table: pa.Table) -> pa.Table:
+        right = table["right"].to_numpy()
+        across = table["i"][0].as_py() != table["j"][0].as_py()
+        odd = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["odd"]]
+        a, b = possible(table["doc_id"].to_numpy(), table["n"].to_numpy().astype(np.int64), odd, percent, right if across else None)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+
+    tied = found.join(large, "component").select(F.col("component").alias("cluster"), F.col("vertex").alias("doc_id"))
+    sketched = cut(cand.join(tied, "doc_id").select("cluster", "doc_id", "n", "keys").mapInArrow(emit, "cluster long, doc_id long, n int, odd binary"))
+    again = components(cut(_tiled(sketched, "odd").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")))
+    return found.join(large, "component", "left_anti").select("vertex", "component").unionByName(again)
+
+
 def verified(clusters: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside clusters, enough of them to tie all that link, and rows (a, a, n) with numbers of links of a's set, to be
-    added up; clusters has doc_id, keys and cluster."""
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = clusters.join(sizes, "cluster").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "keys")
+    added up; clusters has doc_id, n (of shingles), keys and cluster."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
@@ -218,11 +294,11 @@ def verified(clusters: DataFrame, percent: int) -> DataFrame:
         across = table["i"][0].as_py() != table["j"][0].as_py()
         key, first = _unpack_sets(table["keys"].combine_chunks())
         ids = table["doc_id"].to_numpy()
-        a, b, n = links_of(ids, key, first, percent, table["tile"].to_numpy() if across else None)
+        a, b, n = links_of(ids, key, first, percent, table["right"].to_numpy() if across else None)
         some = np.flatnonzero(n)
         return pa.table({"a": pa.array([*a, *ids[some].tolist()], pa.int64()), "b": pa.array([*b, *ids[some].tolist()], pa.int64()), "n": pa.array([*[0] * len(a), *n[some].tolist()], pa.int64())})
 
-    return spread.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long, n long")
+    return _tiled(clusters, "keys").groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long, n long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = S.WORDS, percent: int = 75) -> DataFrame:
@@ -233,8 +309,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = cut(sets_of(B.block_of(docs, docs), words))
     n = B.slices_for(docs)
     cand = cut(candidates(docs, base, words, percent))
-    found = components(ties(cand, n, percent, costs(cand))).withColumnRenamed("component", "cluster")
-    links = cut(verified(cand.join(found.withColumnRenamed("vertex", "doc_id"), "doc_id").select("doc_id", "keys", "cluster"), percent))
+    found = refined(cand, components(ties(cand, n, percent, costs(cand))), percent).select(F.col("vertex").alias("doc_id"), F.col("component").alias("cluster"))
+    links = cut(verified(cand.join(found, "doc_id").select("doc_id", "n", "keys", "cluster"), percent))
     numbers = links.where("n > 0").groupBy(F.col("a").alias("holder")).agg(F.sum("n").alias("n_links"))
     holders = base.where("n_shingles > 0 and doc_id is not null")
     # A row's set may be held by another id; rows with one id tie their sets together.

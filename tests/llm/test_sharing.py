@@ -178,6 +178,42 @@ def test_tiles_find_the_same_links(spark, monkeypatch):
     assert groups_of(near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))) == brute_groups(rows)
 
 
+def test_large_clusters_are_cut_where_no_link_crosses(spark, monkeypatch):
+    """A chain of documents, each with one passage of the next, ties all; exact comparison is asked for small clusters only."""
+    rng = random.Random(8)
+    rows = {}
+    for k in range(80):
+        own = [f"w{k}x{j}" for j in range(60)]
+        rows[k] = " ".join([f"p{k}q{j}" for j in range(7)] + own + [f"p{k + 1}q{j}" for j in range(7)])
+        for copy in range(rng.choice([1, 1, 2])):
+            rows[100 * (copy + 1) + k] = rows[k].replace(f"w{k}x{rng.randrange(60)}", f"y{copy}")
+    seen, verified = [], near.verified
+
+    def spy(clusters, percent):
+        seen.extend(r["count"] for r in clusters.groupBy("cluster").count().collect())
+        return verified(clusters, percent)
+
+    monkeypatch.setattr(near, "verified", spy)
+    monkeypatch.setattr(near, "TILE", 16)
+    got = groups_of(near.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")))
+    assert got == brute_groups(rows) and sum(n for *_, n in got.values()) > 150
+    assert seen and max(seen) <= 16
+
+
+@pytest.mark.parametrize("size", [1, 3, 9, 40, 700])
+def test_sketches_never_tell_linked_sets_apart(size):
+    rng = np.random.default_rng(size)
+    for n in {size, size * 9 // 10, -(-3 * size // 4)} - {0}:
+        both = -(-3 * (size + n) // 7)
+        if both > n:
+            continue
+        shared, x, y = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (both, size - both, n - both))
+        key, first = np.concatenate((shared, x, shared, y)), np.array([0, size, size + n])
+        assert near.possible(np.array([5, 6]), np.diff(first), near.parities(key, first), 75) == ([5], [6])
+    far = rng.integers(0, 1 << 63, 2 * size).astype(np.uint64)
+    assert size < 9 or near.possible(np.array([5, 6]), np.array([size, size]), near.parities(far, np.array([0, size, 2 * size])), 75) == ([], [])
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(500, 560)] + [(900, x) for x in range(901, 960)]
