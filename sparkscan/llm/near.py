@@ -33,9 +33,10 @@ from . import arrays as A
 from . import blocks as B
 from . import shingles as S
 from .components import components
-from .sketches import Sketch, merge
+from .sketches import Sketch, merge, repeated
 from .tables import batch, by_number, cut, pick
 
+FINER = 2  # times as many blocks and slices as other operators have: here a word takes several arrays of eight bytes
 CELLS = 1 << 16  # of the cost sketch
 COUNTERS = 32  # of the sketch of shingles, for each word
 FEW = 6  # sets that hold a rare shingle, at most
@@ -71,7 +72,7 @@ def _unpack_sets(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(docs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
     """Class holders of whose shingles enough are estimated to be in other sets, with their sets."""
-    blocked, n = B.deal(docs), B.slices_for(docs)
+    blocked, n = B.deal(docs, finer=FINER), B.slices_for(docs, FINER)
     counter = Sketch.sized(docs, 1, COUNTERS, n)
     holders = base.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "block")).alias("least"))
     dealt = holders.select("least.block", F.lit(-1).cast("long").alias("slice"), "least.doc_id", "k1")
@@ -93,21 +94,20 @@ def candidates(docs: DataFrame, base: DataFrame, words: int, percent: int) -> Da
             if x in held:
                 held.discard(x)
                 take.append(k)
-        keys = [key[first[k] : first[k + 1]] for k in take]
-        sizes = np.array([len(x) for x in keys], np.int64)
-        return np.array([ids[k] for k in take], np.int64), np.concatenate(keys) if keys else key[:0], np.concatenate(([0], np.cumsum(sizes)))
+        sizes, some = np.diff(first), np.zeros(len(ids), bool)
+        some[take] = True
+        return np.array([ids[k] for k in take], np.int64), key[np.repeat(some, sizes)], np.concatenate(([0], np.cumsum(sizes[some])))
 
     def sketch(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return B.reply([])
         key = mine(table, answers)[1]
-        return counter.messages(key, key, np.ones(len(key), np.int64), table["block"][0].as_py())
+        return counter.messages(key, key, None, table["block"][0].as_py())
 
     def choose(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, key, first = mine(table, answers)
-        _, back, count = np.unique(counter.cells(key, key, 0), return_inverse=True, return_counts=True)
         elsewhere, frequent = counter.elsewhere(key, key, answers, 2)
-        shared = elsewhere | (count > 1)[back]  # a set has a shingle once, so twice is in two sets
+        shared = elsewhere | repeated(counter.cells(key, key, 0))  # a set has a shingle once, so twice is in two sets
         key = S.marked(key, frequent, ~shared)
         total = np.concatenate(([0], np.cumsum(shared)))
         size = np.diff(first)
@@ -306,8 +306,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if percent < 75:
         raise ValueError("the segments' numbers hold for 75 percent and more")
     docs = pick(docs, doc_id, text)
-    base = cut(sets_of(B.block_of(docs, docs), words))
-    n = B.slices_for(docs)
+    base = cut(sets_of(B.block_of(docs, docs, FINER), words))
+    n = B.slices_for(docs, FINER)
     cand = cut(candidates(docs, base, words, percent))
     found = refined(cand, components(ties(cand, n, percent, costs(cand))), percent).select(F.col("vertex").alias("doc_id"), F.col("component").alias("cluster"))
     links = cut(verified(cand.join(found, "doc_id").select("doc_id", "n", "keys", "cluster"), percent))

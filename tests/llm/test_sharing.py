@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from hashlib import sha256
 
@@ -55,6 +56,19 @@ def test_substrings(docs, small_blocks):
     assert removed > 100
 
 
+def test_a_sketch_takes_few_bytes_an_item():
+    """Two workers of an executor hold a block or a slice each beside the JVM."""
+    h = np.random.default_rng(1).integers(0, 1 << 63, 300_000).astype(np.uint64) << np.uint64(1)
+    h = np.concatenate((h, h[:50_000]))
+    counter = Sketch(1, 36, 64)
+    answers = counter.messages(h[:9], h[:9], np.ones(9, np.int64), 0)  # imports
+    for run, most in ((lambda: counter.messages(h, h, None, 0), 40), (lambda: merge(6)(answers), 46), (lambda: counter.elsewhere(h, h, answers, 2), 36)):
+        tracemalloc.start()
+        answers = run()
+        assert tracemalloc.get_traced_memory()[1] < most * len(h)
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("depth,bits", [(1, 9), (2, 9), (3, 12), (2, 24)])
 def test_merged_sketches_never_count_too_low(depth, bits):
     rng = np.random.default_rng(depth)
