@@ -5,6 +5,7 @@ import re
 import tracemalloc
 import zlib
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -317,6 +318,16 @@ def test_packing_joins_documents_of_all_shards(spark, monkeypatch):
     assert sum(n < 2048 for n in size.values()) <= 11
 
 
+def test_postings_are_kept_once(docs, spark, tmp_path, monkeypatch):
+    """What the index is made of goes when it has been written: the table with raw postings, frequencies and shuffles."""
+    made = []
+    monkeypatch.setattr(packing, "shared_dir", lambda spark: made.append(str(tmp_path / str(len(made)))) or made[-1])
+    shards = packing.Shards(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(7))), 3, tokens.vocabulary(), 1)
+    left = {p for p in made if Path(p).exists()}
+    assert left == {str(Path(f.removeprefix("file:")).parent) for t in (shards.base, shards.index) for f in t.inputFiles()}
+    assert len(left) == 2 and "postings" not in shards.base.columns and shards.index.count() == 7
+
+
 @pytest.mark.parametrize("run", [substrings.substring_dedup, lines.line_dedup, near.near_duplicates, lambda d: packing.pack(d, tokens.vocabulary())])
 def test_empty_tables(run, none):
     assert run(none).count() == 0
