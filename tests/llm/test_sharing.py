@@ -328,6 +328,26 @@ def test_postings_are_kept_once(docs, spark, tmp_path, monkeypatch):
     assert len(left) == 2 and "postings" not in shards.base.columns and shards.index.count() == 7
 
 
+def test_answers_of_a_round_are_bounded(monkeypatch):
+    """Many seeds that ask for the same documents get longer lists, and the driver no more than MOST answers."""
+    monkeypatch.setattr(packing, "ROUNDS", 1)
+    monkeypatch.setattr(packing, "MOST", 70_000, raising=False)
+    asked = []
+
+    class Same:
+        n, sizes = 6_000, np.full(6_000, 700, np.uint32)
+
+        def neighbours(self, seeds, used, k):
+            asked.append((len(seeds), k))
+            best = np.flatnonzero(~used)[:k]
+            return np.repeat(np.arange(len(seeds)), len(best)), np.tile(np.arange(len(best), 0, -1), len(seeds)), np.tile(best, len(seeds))
+
+    chain, place, length = packing.chains(Same())
+    assert max(n for n, _ in asked) > 1000 and max(k for _, k in asked) > packing.ANSWERS
+    assert all(n * k <= max(70_000, n * packing.ANSWERS) for n, k in asked)
+    assert sorted(zip(chain.tolist(), place.tolist(), strict=True)) == [(c, 700 * i) for c in range(len(length)) for i in range(length[c] // 700)] and length.sum() == 6_000 * 700
+
+
 @pytest.mark.parametrize("run", [substrings.substring_dedup, lines.line_dedup, near.near_duplicates, lambda d: packing.pack(d, tokens.vocabulary())])
 def test_empty_tables(run, none):
     assert run(none).count() == 0
