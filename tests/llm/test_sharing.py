@@ -362,3 +362,34 @@ def test_odd_rows(odd):
     groups = near.near_duplicates(odd).collect()
     assert len(groups) == n and {(r.doc_id, r.component_id, r.n_links) for r in groups} == {(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (None, None, 0)}
     assert packing.pack(odd, tokens.vocabulary()).where("start = 0").count() == n
+
+
+def test_the_terms_of_seeds_take_few_bytes_on_the_driver(spark):
+    """A round has up to CHAINS seeds, and 8,192 documents of 700 words have millions of terms."""
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(f"w{x}" for x in rng.choice(5_000, 2_000, replace=False))) for k in range(400)]
+    dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).withColumn("shard", F.pmod("doc_id", F.lit(40)))
+    shards = packing.Shards(dealt, 3, tokens.vocabulary(), 1)
+    seeds = rng.permutation(shards.n)
+    tracemalloc.start()
+    terms, term_of, first = shards._terms(seeds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(terms) == 5_000 and len(term_of) == first[-1] == 800_000 and (np.diff(first) == 2_000).all()
+    names = [k for s in shards.starts for k in range(400) if k % 40 == s]  # by place
+    for k in (0, 17, 399):
+        text = pa.array([dict(rows)[names[seeds[k]]]])
+        assert terms[term_of[first[k] : first[k + 1]]].tolist() == packing.postings(text)[0].tolist()
+    assert peak < 20 * len(term_of)
+
+
+def test_seeds_of_many_terms_are_asked_for_in_several_goes(docs, monkeypatch):
+    shards = packing.Shards(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(7))), 3, tokens.vocabulary(), 1)
+    used, seeds = np.arange(shards.n) % 5 == 0, np.array([50, 0, 5, 100, 15, 35])
+    by_query = lambda got: sorted(zip(*(x.tolist() for x in got), strict=True))
+    whole = by_query(shards.neighbours(seeds, used, 9))
+    goes, best = [], shards._best
+    monkeypatch.setattr(shards, "_best", lambda seeds, *more: goes.append(seeds) or best(seeds, *more))
+    monkeypatch.setattr(packing, "ASKED", int(shards.sizes[seeds].sum()) // 3)
+    assert by_query(shards.neighbours(seeds, used, 9)) == whole and len(whole) > 20
+    assert len(goes) > 2 and np.concatenate(goes).tolist() == seeds.tolist()
