@@ -40,6 +40,7 @@ FINER = 2  # times as many blocks and slices as other operators have: here a wor
 CELLS = 1 << 16  # of the cost sketch
 COUNTERS = 32  # of the sketch of shingles, for each word
 FEW = 6  # sets that hold a rare shingle, at most
+FIRST = 16  # one of so many slices of signatures ties first
 TILE = 4096  # sets of a cluster that one task compares with as many others
 CANDIDATES = "doc_id long, n int, keys binary"
 _BASE = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
@@ -137,7 +138,23 @@ def costs(cand: DataFrame) -> np.ndarray:
 
 
 def ties(cand: DataFrame, n: int, percent: int, cost: np.ndarray) -> DataFrame:
-    """Distinct (a, b): candidates that a looked-up signature ties, b to the least holder a of sizes that may link."""
+    """Distinct (a, b): candidates that a looked-up signature ties, b to the least holder a of sizes that may link.
+
+    Near copies agree on many signatures, and each would tie them again in its slice.  So the first slices, a share of 1 / FIRST of all signatures,
+    answer first; what they tie goes on under one name, and the other slices return only what ties something new.
+    """
+    few = -(-n // FIRST)
+    first = cut(_tied(cand.select("doc_id", "n", "keys"), n, 0, few, percent, cost).distinct())
+    if few == n:
+        return first
+    least = first.groupBy("b").agg(F.min("a").alias("a"))
+    names = least.join(least.select(F.col("b").alias("a"), F.col("a").alias("next")), "a", "left").select(F.col("b").alias("doc_id"), F.coalesce("next", "a").alias("name"))
+    named = cand.join(names, "doc_id", "left").select(F.coalesce("name", "doc_id").alias("doc_id"), "n", "keys")
+    return first.unionByName(_tied(named, n, few, n, percent, cost).distinct())
+
+
+def _tied(cand: DataFrame, n: int, low: int, high: int, percent: int, cost: np.ndarray) -> DataFrame:
+    """What slices low .. high of n tie, once for each slice. Several sets may have one name in doc_id."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,9 +165,10 @@ def ties(cand: DataFrame, n: int, percent: int, cost: np.ndarray) -> DataFrame:
                     continue
                 look = sigs.allocate(cost[(sigs.sig % np.uint64(CELLS)).astype(np.int64)])
                 order = np.argsort(sigs.sig)
+                order = order[slice(*np.searchsorted(B.slice_of(sigs.sig[order], n), (low, high)))]
                 own, sig = sigs.set[order], sigs.sig[order]
                 packed = (size[own].astype(np.int64) * 2 + look[order]).astype(np.uint32)
-                yield B.messages(0, B.slice_of(sig, n), n, sig, ids[own], packed).select(["slice", "data"]).combine_chunks().to_batches()[0]
+                yield from B.messages(0, B.slice_of(sig, n), n, sig, ids[own], packed).select(["slice", "data"]).combine_chunks().to_batches()
 
     def meet(table: pa.Table) -> pa.Table:
         got = [B.unpack(x.as_buffer(), np.uint64, np.int64, np.uint32) for x in table["data"]]
@@ -167,7 +185,7 @@ def ties(cand: DataFrame, n: int, percent: int, cost: np.ndarray) -> DataFrame:
         pairs = np.unique(np.stack((hub[ok], doc[ok]), axis=1), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
 
-    return cand.select("doc_id", "n", "keys").mapInArrow(emit, "slice long, data binary").groupBy("slice").applyInArrow(meet, "a long, b long").distinct()
+    return cand.mapInArrow(emit, "slice long, data binary").groupBy("slice").applyInArrow(meet, "a long, b long")
 
 
 def links_of(ids: np.ndarray, key: np.ndarray, first: np.ndarray, percent: int, left: np.ndarray | None = None) -> tuple[list[int], list[int], np.ndarray]:

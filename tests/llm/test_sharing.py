@@ -393,3 +393,26 @@ def test_seeds_of_many_terms_are_asked_for_in_several_goes(docs, monkeypatch):
     monkeypatch.setattr(packing, "ASKED", int(shards.sizes[seeds].sum()) // 3)
     assert by_query(shards.neighbours(seeds, used, 9)) == whole and len(whole) > 20
     assert len(goes) > 2 and np.concatenate(goes).tolist() == seeds.tolist()
+
+
+def test_near_copies_are_tied_once_and_not_in_every_slice(spark, monkeypatch):
+    """Slices return few rows for each set, however many of them share its signatures."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(8):
+        words = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(6):
+            words[rng.randrange(200)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    keys = pa.array([x for _, x in rows])
+    key, first = shingles.sets(keys)
+    cand = spark.createDataFrame([(k, int(first[k + 1] - first[k]), bytearray(shingles.marked(key, np.zeros(len(key), bool), np.zeros(len(key), bool))[first[k] : first[k + 1]].tobytes())) for k in range(len(rows))], near.CANDIDATES)
+    made, distinct = [], type(cand).distinct
+    monkeypatch.setattr(type(cand), "distinct", lambda self: made.append(self.count()) or distinct(self))
+    found = near.ties(cand, 64, 75, np.ones(near.CELLS, np.int64))
+    monkeypatch.undo()
+    groups = {}
+    for r in components(found).collect():
+        groups.setdefault(r.component, set()).add(r.vertex)
+    assert groups == {6 * g: set(range(6 * g, 6 * g + 6)) for g in range(8)}
+    assert sum(made) < 6 * len(rows)
