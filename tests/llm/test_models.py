@@ -227,6 +227,26 @@ def test_scratch_deletes_what_was_cut(odd, spark):
         spark.read.parquet(path)
 
 
+def test_the_driver_gives_memory_back_between_queries(odd, spark, tmp_path, monkeypatch):
+    from sparkscan.llm import tables
+
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    total = lambda: jvm.Runtime.getRuntime().totalMemory() >> 20
+    monkeypatch.setattr(tables, "_settled", [float("-inf")], raising=False)
+    for _ in range(3):
+        blocks = [gateway.new_array(jvm.long, 13 << 20) for _ in range(6)]
+        for b in blocks:
+            gateway.detach(b)
+        del blocks
+    grown = total()
+    assert grown > 600
+    tables.cut_at(odd, str(tmp_path / "cut"))
+    assert total() < grown - 200
+    last = tables._settled[0]
+    tables.settle(spark)
+    assert tables._settled[0] == last  # not again so soon
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
