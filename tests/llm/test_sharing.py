@@ -383,6 +383,32 @@ def test_the_terms_of_seeds_take_few_bytes_on_the_driver(spark):
     assert peak < 20 * len(term_of)
 
 
+def test_shards_after_the_first_return_only_what_may_be_among_the_best(monkeypatch):
+    """A task has k answers of each seed after its first shards; worse documents of the next shards aren't listed, and none that counts is lost."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 400) for _ in range(400)]
+    parts = []
+    for a in range(0, 400, 100):
+        key, doc, tf, words = packing.postings(pa.array(texts[a : a + 100]))
+        keys, count = np.unique(key, return_counts=True)
+        parts.append((keys, count, doc, packing.weights(np.repeat(np.log1p(400 / count), count), tf, words[doc], 60), 100))
+    key, doc, _, _ = packing.postings(pa.array(texts[:50]))
+    key = key[np.argsort(doc, kind="stable")]
+    terms, term_of = np.unique(key, return_inverse=True)
+    first = np.append(0, np.cumsum(np.bincount(doc)))
+    monkeypatch.setattr(packing, "CELLS", 1_000)
+    k, none = 5, [np.zeros(0, np.int64)] * 3
+    whole = best = none
+    for i, part in enumerate(parts):
+        full = packing._scores(*part, terms, term_of, first, 100)
+        whole = packing._merged(whole, (full[0], full[1], full[2] + 100 * i), 50, 400)
+        floor = np.zeros(50, np.int64) if i == 0 else best[1][k - 1 :: k]
+        some = packing._scores(*part, terms, term_of, first, k, floor)
+        assert i == 0 or (some[1] >= floor[some[0]]).all() and len(some[0]) < 50 * k
+        best = packing._merged(best, (some[0], some[1], some[2] + 100 * i), 50, k)
+    assert [x.tolist() for x in best] == [x.tolist() for x in packing._top(*whole, k)]
+
+
 def test_seeds_of_many_terms_are_asked_for_in_several_goes(docs, monkeypatch):
     shards = packing.Shards(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(7))), 3, tokens.vocabulary(), 1)
     used, seeds = np.arange(shards.n) % 5 == 0, np.array([50, 0, 5, 100, 15, 35])
